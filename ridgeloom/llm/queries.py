@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeloom.llm import bpe
+from ridgeloom.llm import bpe, rules, urls
 from ridgeloom.llm.shared import table
 
 QUERIES: dict = {}
@@ -21,3 +21,19 @@ def _query(f):
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.host_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_quality_rules"] = rules.ORACLE
+
+
+@_query
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op10_url_filters"] = urls.oracle()

@@ -143,3 +143,38 @@ def encode_units(texts: list[str], encode) -> Ragged:
         by_text = np.argsort(group, kind="stable")
         order, group = order[by_text], group[by_text]
     return ids.take(order).grouped(group, len(texts))
+
+
+def word_codes(texts: list[str], fold: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All words of the texts: (code of each word, text it stands in, words by code).
+
+    Words are runs between the six ASCII white-space characters; with ``fold`` A-Z are lower-cased first.
+    """
+    column = pa.array(texts, pa.large_string())
+    if fold:
+        column = pc.ascii_lower(column)
+    cut = pc.ascii_split_whitespace(column)
+    owner = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    pieces = cut.flatten()
+    real = pc.greater(pc.binary_length(pieces), 0)
+    owner, pieces = owner[real.to_numpy(zero_copy_only=False)], pieces.filter(real)
+    codes = pieces.dictionary_encode()
+    return codes.indices.to_numpy().astype(np.int64), owner, codes.dictionary
+
+
+def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number from 0 for each key, how often each number occurs)"""
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return number.astype(np.int64), count
+
+
+def windows(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each n-word window, place of its first word): windows lie in one text; equal ones have equal numbers."""
+    if len(codes) < n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+    number = codes[place]
+    for k in range(1, n):
+        right = codes[place + k]
+        number, _ = dense(number * (right.max(initial=0) + 1) + right)
+    return number, place
