@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeloom.llm import bpe, rules, urls
+from ridgeloom.llm import bpe, neardup, rules, urls
 from ridgeloom.llm.shared import table
 
 QUERIES: dict = {}
@@ -37,3 +37,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_url_filters"] = urls.oracle()
+
+
+@_query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
