@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeloom.llm import bpe, neardup, rules, urls
-from ridgeloom.llm.shared import table
+from ridgeloom.llm import bpe, leaks, neardup, quality, quotes, rules, secrets, shards, tokenfiles, urls
+from ridgeloom.llm.shared import scratch_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +26,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@_query
+def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.host_rules(table(spark, sf_dir, "documents"))
@@ -31,6 +39,38 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_quality_rules"] = rules.ORACLE
 
 
+@_query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@_query
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents")).drop("found")
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.round_trip(table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLES["op6_sharding"] = shards.ORACLE
+
+
+@_query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op8_chat_formatting"] = quotes.ORACLE
+
+
+@_query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
