@@ -4,8 +4,8 @@
    all documents) gets a randomised SVD: a Gaussian test matrix is multiplied by the passages' Gram matrix a few
    times, each product summed over the partitions of the passage table, and orthonormalised in between.
 2. Every document is cut into overlapping windows. A window's latent vector is the sum of its words' rows of the
-   term table, its cosine with each benchmark passage one matrix product. Windows at or above COSINE are
-   candidates, all of them.
+   term table, its cosine with each benchmark passage one matrix product. Windows at or above COSINE, and not
+   much shorter than the passage along it, are candidates, all of them.
 3. A candidate region is compared with the whole item: the longest common subsequence of words, and how much of
    the item's answer (its last sentence, weighted by IDF) stands there. Much of the subsequence suffices; half of
    it needs the answer too, which is what a paraphrase keeps.
@@ -18,25 +18,32 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import slices, texts_of, word_codes
+from ridgeloom.llm.shared import slices, texts_of
 
 STRIDE = 12
 WINDOW = 2 * STRIDE
-RANK, OVERSAMPLE, POWERS = 112, 16, 2
-COSINE = 0.45
+RANK, OVERSAMPLE, POWERS = 320, 16, 2
+#: A window is a candidate for a passage at this cosine, if it also holds this share of the passage's own length.
+COSINE, MASS = 0.6, 0.5
+#: Passages of an item with less than this share of its longest passage vector are not searched for.
+STRONG = 0.6
+_GROUP, _CHUNK = 32, 1024
 #: Shares of an item's words: enough by itself, enough with the answer; share of the answer's weight.
 LCS_COPY, LCS_PARAPHRASE, ANSWER = 0.75, 0.5, 0.7
-BLOCK_ITEMS = 1024
+BLOCK_ITEMS = 256
+_TERMS, _PARTITIONS = 512, 8
 
-_EDGES = ".,;:!?\"'()[]{}…«»“”‘’|*#$%&-"
+_EDGES = ".,;:!?\"'()[]{}|*#$%&-"
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,11 +87,26 @@ class Block:
     items: list[int]
     words: list[list[int]]
     answers: list[list[int]]
-    terms: dict[str, int]
+    terms: pa.Array
     idf: np.ndarray | None = None
     table: np.ndarray | None = None  # (terms, rank): a word's share of a latent vector
     targets: np.ndarray | None = None  # (rank, passages), unit columns
+    norms: np.ndarray | None = None  # lengths of the passages' vectors
     owner: np.ndarray | None = None  # item number of each passage
+    counts: list[Counter] | None = None  # words of each item
+
+    def aim(self, cuts: list[tuple[int, list[int]]]) -> None:
+        """Passage vectors in ascending length; an item's passages much shorter than its longest aim at nothing."""
+        vectors = np.stack([self.table[c].sum(0) for _, c in cuts])
+        norms = np.maximum(1e-6, np.linalg.norm(vectors, axis=1)).astype(np.float32)
+        owner = np.array([k for k, _ in cuts])
+        longest = np.zeros(len(self.items), np.float32)
+        np.maximum.at(longest, owner, norms)
+        order = np.argsort(norms, kind="stable")
+        order = order[norms[order] >= STRONG * longest[owner[order]]]
+        self.norms, self.owner = norms[order], owner[order]
+        self.targets = np.ascontiguousarray((vectors[order] / norms[order, None]).T, np.float32)
+        self.counts = [Counter(w) for w in self.words]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Block:
@@ -92,31 +114,31 @@ class Block:
         number = lambda found: [terms.setdefault(w, len(terms)) for w in found]
         rows = [(i, t) for i, t in rows if t and words_of(t)]
         words = [number(words_of(t)) for _, t in rows]
-        return cls([i for i, _ in rows], words, [number(answer_of(t)) for _, t in rows], terms)
+        return cls([i for i, _ in rows], words, [number(answer_of(t)) for _, t in rows], pa.array(list(terms), pa.large_string()))
 
 
-def _codes(texts: list[str], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _codes(texts: list[str], terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(term number or -1, text) of every word that is not punctuation alone."""
-    codes, owner, words = word_codes(texts, fold=True)
-    bare = [w.strip(_EDGES) for w in words.to_pylist()]
-    number = np.array([terms.get(w, -1) if w else -2 for w in bare] or [0], np.int64)
-    found = number[codes] if len(codes) else np.empty(0, np.int64)
-    real = found != -2
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    owner = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    words = pc.ascii_trim(cut.flatten(), characters=_EDGES)
+    found = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy().astype(np.int64)
+    real = found >= 0
+    real |= pc.binary_length(words).to_numpy() > 0
     return found[real], owner[real]
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndarray]:
     """(documents, documents with each term) over the whole table; summed by task before anything is sent."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0, np.zeros(len(terms), np.int64)
-        for batch in batches:
-            for part in slices(batch_iter(batch)):
-                total += part.num_rows
-                found, owner = _codes(texts_of(part), terms)
-                known = found >= 0
-                pairs = np.unique(owner[known] * len(terms) + found[known])
-                seen += np.bincount(pairs % len(terms), minlength=len(terms))
+        for batch in slices(batches):
+            total += batch.num_rows
+            found, owner = _codes(texts_of(batch), terms)
+            known = found >= 0
+            pairs = np.unique(owner[known] * len(terms) + found[known])
+            seen += np.bincount(pairs % len(terms), minlength=len(terms))
         live = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1)), pa.array(np.append(seen[live], total))], ["term", "n"])
 
@@ -130,10 +152,6 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
     return total, out
 
 
-def batch_iter(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield batch
-
-
 def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A'Ax for the TF-IDF matrix A of a passage table (terms: array of term numbers), summed over its partitions."""
     width = x.shape[1]
@@ -145,14 +163,20 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
                 t = np.array(found, np.int64)
                 row = _row(t, idf)
                 np.add.at(out, t, (row[:, None] * (row @ x[t])[None, :]))
-        live = np.flatnonzero(out.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(list(out[live]), pa.list_(pa.float64()))], ["term", "row"])
+        for k in range(0, len(out), _TERMS):
+            part = out[k : k + _TERMS]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"part": [k // _TERMS], "sums": [part.tobytes()]})
 
-    parts = passages.mapInArrow(work, "term bigint, row array<double>")
-    summed = parts.groupBy("term").agg(F.array(*[F.sum(F.col("row")[k]) for k in range(width)]).alias("row")).toArrow()
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
+        return pa.Table.from_pydict({"part": [table.column("part")[0].as_py()], "sums": [total.tobytes()]})
+
+    # A group holds one slab of _TERMS rows from each of the few partitions.
+    slabs = passages.mapInArrow(work, "part bigint, sums binary").groupBy("part").applyInArrow(add, "part bigint, sums binary").toArrow()
     out = np.zeros_like(x)
-    if summed.num_rows:
-        out[summed.column("term").to_numpy()] = np.asarray(summed.column("row").combine_chunks().flatten()).reshape(-1, width)
+    for k, sums in zip(slabs.column("part").to_pylist(), slabs.column("sums").to_pylist(), strict=True):
+        out[k * _TERMS : (k + 1) * _TERMS] = np.frombuffer(sums).reshape(-1, width)
     return out
 
 
@@ -182,15 +206,44 @@ def prepared(docs: DataFrame, block: Block) -> Block:
     cuts = [(k, w[a:b]) for k, w in enumerate(block.words) for a, b in _passages(len(w))]
     spark = docs.sparkSession
     schema = pa.schema([("terms", pa.list_(pa.int64()))])
-    passages = spark.createDataFrame(pa.Table.from_pydict({"terms": [c for _, c in cuts]}, schema)).repartition(min(len(cuts), spark.sparkContext.defaultParallelism))
+    passages = spark.createDataFrame(pa.Table.from_pydict({"terms": [c for _, c in cuts]}, schema)).repartition(_PARTITIONS)
     basis = latent_terms(passages, block.idf)
     block.table = (block.idf[:, None] * basis).astype(np.float32)
-    vectors = np.stack([block.table[c].sum(0) for _, c in cuts])
-    block.targets = np.ascontiguousarray((vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1))[:, None]).T, np.float32)
-    block.owner = np.array([k for k, _ in cuts])
+    block.aim(cuts)
     return block
 
 
+def _live_windows(term: np.ndarray, at: np.ndarray, of_block: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(windows by their first block, whether a second follows) whose vectors may be long enough for some passage.
+
+    Projection shortens, so a window's vector is at most as long as the weights of its two blocks added up. Most
+    windows end here, and exactly.
+    """
+    entry, count = np.unique(at * len(block.idf) + term, return_counts=True)
+    square = (count * block.idf[entry % len(block.idf)]) ** 2
+    length = np.sqrt(np.bincount(entry // len(block.idf), square, len(of_block)))
+    follows = np.append(of_block[:-1] == of_block[1:], False)
+    both = length.copy()
+    pair = np.flatnonzero(follows)
+    both[pair] += length[pair + 1]
+    live = np.flatnonzero(both >= MASS * float(block.norms[0]) * 0.999)
+    return live, follows[live]
+
+
+def _row_sums(table: np.ndarray, term: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, rank) sums of the table rows of each block's terms; ``row`` ascends. The j-th terms of all blocks at once."""
+    count = np.bincount(row, minlength=n)
+    order = np.argsort(-count, kind="stable")
+    first = (np.cumsum(count) - count)[order]
+    full = np.searchsorted(-count[order], -np.arange(count.max(initial=0)), "left")
+    total = np.zeros((n, table.shape[1]), np.float32)
+    for j, m in enumerate(full.tolist()):
+        total[:m] += table[term[first[:m] + j]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def search(texts: list[str], block: Block) -> list[tuple[int, int, float, float, float]]:
     """(text number, item number, cosine, LCS share, answer share) of all confirmed pairs, the best region of each."""
     found, owner = _codes(texts, block.terms)
@@ -202,51 +255,55 @@ def search(texts: list[str], block: Block) -> list[tuple[int, int, float, float,
     of_block = np.repeat(np.arange(len(texts)), blocks)
     known = np.flatnonzero(found >= 0)
     term, at = found[known], at[known]
-    cand: dict[tuple[int, int], dict[int, float]] = {}
-    step = 4096
-    for lo in range(0, len(of_block), step):
-        hi = min(lo + step + 1, len(of_block))
+    live, follows = _live_windows(term, at, of_block, block)
+    need = np.zeros(len(of_block) + 1, bool)
+    need[live] = True
+    need[live[follows] + 1] = True
+    row_of = np.cumsum(need) - 1
+    wanted = need[at]
+    term, at = term[wanted], row_of[at[wanted]]
+    pairs: list[np.ndarray] = []
+    for k in range(0, len(live), _CHUNK):
+        own, next_ = live[k : k + _CHUNK], follows[k : k + _CHUNK]
+        lo, hi = row_of[own[0]], row_of[own[-1]] + 2
         a, b = np.searchsorted(at, [lo, hi])
-        sums = np.zeros((hi - lo, block.table.shape[1]), np.float32)
-        if b > a:
-            own = at[a:b] - lo
-            heads = np.flatnonzero(np.diff(own, prepend=-1))
-            sums[own[heads]] = np.add.reduceat(block.table[term[a:b]], heads, axis=0)
-        n = min(step, hi - lo)
-        v = sums[:n].copy()
-        joined = np.flatnonzero(of_block[lo : hi - 1] == of_block[lo + 1 : hi])
-        joined = joined[joined < n]
-        v[joined] += sums[joined + 1]
-        v /= np.maximum(1e-9, np.linalg.norm(v, axis=1))[:, None]
-        close = v @ block.targets
-        for i, p in zip(*np.nonzero(close >= COSINE), strict=True):
-            key = (int(of_block[lo + i]), int(block.owner[p]))
-            near = cand.setdefault(key, {})
-            k = int(lo + i - first[key[0]])
-            near[k] = max(near.get(k, 0.0), float(close[i, p]))
-    out = []
-    for (d, item), near in cand.items():
-        words, answer = block.words[item], set(block.answers[item])
-        weight = sum(block.idf[t] for t in answer)
-        best = (0.0, 0.0, 0.0, 0.0)
-        lines = found[starts[d] : starts[d] + sizes[d]]
+        sums = _row_sums(block.table, term[a:b], at[a:b] - lo, hi - lo)
+        v = sums[row_of[own] - lo]
+        v[next_] += sums[row_of[own[next_] + 1] - lo]
+        long = np.linalg.norm(v, axis=1)
+        for p0 in range(0, len(block.norms), _GROUP):
+            norms = block.norms[p0 : p0 + _GROUP]
+            able = np.flatnonzero(long >= MASS * norms[0])  # a shorter vector cannot hold enough of these passages
+            if not len(able):
+                break
+            along = v[able] @ block.targets[:, p0 : p0 + _GROUP]
+            i, p = np.nonzero((along >= np.float32(COSINE) * long[able, None]) & (along >= np.float32(MASS) * norms))
+            if len(i):
+                pairs.append(np.stack([of_block[own[able[i]]], block.owner[p0 + p], own[able[i]], (along[i, p] / long[able[i]] * 1e6).astype(np.int64)]))
+    near = np.concatenate(pairs, axis=1) if pairs else np.empty((4, 0), np.int64)
+    near = near[:, np.lexsort((near[2], near[1], near[0]))]
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    before, done = (-1, -1), -1
+    for d, item, k, cosine in near.T.tolist():
+        key, words = (d, item), block.words[item]
+        k -= int(first[d])
         reach = len(words) + STRIDE
-        done = -1
-        for k in sorted(near):
-            lo = max(0, k * STRIDE - reach)
-            hi = min(len(lines), k * STRIDE + WINDOW + reach)
-            if hi <= done:
-                continue  # the region before has covered this one
-            done = hi - STRIDE
-            region = lines[lo:hi].tolist()
-            share = lcs(words, region) / len(words)
-            here = set(region)
-            said = sum(block.idf[t] for t in answer if t in here) / weight if weight else 1.0
-            ok = share >= LCS_COPY or (share >= LCS_PARAPHRASE and said >= ANSWER)
-            best = max(best, (float(ok), share, said, near[k]))
-        if best[0]:
-            out.append((d, item, best[3], best[1], best[2]))
-    return out
+        lo, hi = max(0, k * STRIDE - reach), min(int(sizes[d]), k * STRIDE + WINDOW + reach)
+        if key == before and hi <= done:
+            continue  # the region before has covered this one
+        before, done = key, hi - STRIDE
+        counts = block.counts[item]
+        region = [t for t in found[starts[d] + lo : starts[d] + hi].tolist() if t in counts]
+        here = set(region)
+        if sum(counts[t] for t in here) < LCS_PARAPHRASE * len(words):
+            continue  # no subsequence can be longer than the words in common
+        share = lcs(words, region) / len(words)
+        answer = set(block.answers[item])
+        weight = sum(block.idf[t] for t in answer)
+        said = sum(block.idf[t] for t in answer & here) / weight if weight else 1.0
+        if share >= LCS_COPY or (share >= LCS_PARAPHRASE and said >= ANSWER):
+            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, said, cosine / 1e6))
+    return [(d, item, cosine, share, said) for (d, item), (share, said, cosine) in best.items()]
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
