@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ridgeloom.llm.shared import Ragged, encode_units, slices, texts_of
+from ridgeloom.llm.shared import Ragged, encode_matches, encode_units, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
 _PAD = np.int32(2**17 - 1)
@@ -97,22 +97,7 @@ class ByteBpe:
     # -- encoding ---------------------------------------------------------------------------------
 
     def _encode_units(self, found: list[str]) -> Ragged:
-        """Each unit's pattern matches, every distinct one encoded once, joined."""
-        findall = self.pattern.findall
-        parts, sizes = [], []
-        for u in found:
-            if (u[1:] if u[:1] == " " else u).isalpha():  # letters only: one match of the pattern
-                parts.append(u)
-                sizes.append(1)
-            else:
-                cut = findall(u)
-                parts += cut
-                sizes.append(len(cut))
-        distinct = dict.fromkeys(parts)
-        place = dict(zip(distinct, range(len(distinct)), strict=True))
-        ids = self.encode_pretokens([x.encode() for x in distinct])
-        order = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
-        return ids.take(order).grouped(np.repeat(np.arange(len(found)), sizes), len(found))
+        return encode_matches(found, self.pattern.findall, lambda parts: self.encode_pretokens([x.encode() for x in parts]))
 
     def encode_pretokens(self, found: list[bytes]) -> Ragged:
         """The ids of each pre-token, bucket by bucket of length."""

@@ -6,12 +6,13 @@
    two sketches is that of their differing values, which estimates a high similarity closely.
 2. Documents with one fingerprint are one class; only its smallest id goes on (a partial minimum, so a class
    may hold any share of the rows).
-3. In each band bucket every member is linked to the bucket's smallest member: as many candidates as members.
-   The sketch sifts them, the full sets (recomputed for candidates alone) confirm them, and the confirmed links
-   give components.
-4. Two members of a bucket in different components may still be similar to each other, though not to the
-   bucket's smallest member. Those pairs alone are compared next, all of them, the sketch within the join
-   condition, and confirmed in the same way. Pairs within a component need no look: they cannot change it.
+3. A bucket's hub is its smallest member. Every document is compared with the smallest of its hubs: one candidate
+   a document. The sketch and the sizes sift them, the full sets (recomputed for candidates alone) confirm them,
+   and the confirmed links give components.
+4. In buckets that still hold several components, one member of each is compared with the hub in the same way.
+5. Two members of a bucket in different components may still be similar to each other, though not to the hub.
+   Those pairs alone are compared last, all of them, sketch and sizes within the join condition, and confirmed.
+   Pairs within a component need no look: they cannot change it.
 
 So every pair that shares a bucket is confirmed, sifted out by its sketch, or already connected. A pair at 0.8
 shares no bucket with probability (1 - 0.8**5)**40, below 2e-7, and is sifted out with about as much.
@@ -32,8 +33,8 @@ from ridgeloom.llm.shared import slices, staged, texts_of, windows, word_codes
 
 BANDS, BAND_ROWS, SKETCH_BITS = 40, 5, 512
 _HASHES, _WORDS = BANDS * BAND_ROWS, SKETCH_BITS // 64
-#: Candidates whose sketches estimate less than the asked similarity minus this are dropped (over five sigma).
-SLACK = 0.17
+#: Candidates whose sketches estimate less than the asked similarity minus this are dropped (over four and a half sigma).
+SLACK = 0.14
 
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = _seeds.integers(0, 1 << 32, _HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -183,7 +184,8 @@ def most_differing_bits(similarity: float) -> int:
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(set_table(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), n), "sets")
+    # Both sides grow with the documents, so neither may be broadcast by a guess of its size.
+    sets = staged(set_table(docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), n), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -205,34 +207,47 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = staged(features(docs, shingle_words), "features")
     sets = found.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    words = [f"s{k}" for k in range(_WORDS)]
     reps = staged(
         found.where("fp is not null").join(sets, "fp").where("doc_id = rep").dropDuplicates(["rep", "fp"])
-        .select("rep", "bands", *[F.col("sketch")[k].alias(f"s{k}") for k in range(_WORDS)]),
+        .select("rep", "bands", F.col("n_shingles").alias("size"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(_WORDS)]),
         "reps",
     )
-    sketches = reps.select("rep", *[f"s{k}" for k in range(_WORDS)])
-    side = lambda name: sketches.select(F.col("rep").alias(name), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_WORDS)])
+    sketches = reps.select("rep", "size", *words)
     most = most_differing_bits(percent / 100 - SLACK)
+    # No pair whose sizes differ more can be similar enough; the sketch sifts the rest.
+    near = (100 * F.least("asize", "bsize") >= percent * F.greatest("asize", "bsize")) & (differing_bits("a", "b") <= most)
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[c for c in rows.columns if c not in ("rep", "size", *words)], F.col("rep").alias(name), F.col("size").alias(f"{name}size"), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_WORDS)])
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are sifted and confirmed, written once."""
+        sifted = staged(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"), "sifted")
+        return staged(_confirmed(sifted, docs, shingle_words, percent), "links")
+
+    def open_members(members: DataFrame, placed: DataFrame) -> DataFrame:
+        """bucket, hub, rep and its component c of the buckets that hold several components."""
+        rows = members.join(placed, members.rep == placed.node, "left").select("bucket", "hub", "rep", F.coalesce("component", "rep").alias("c"))
+        several = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+        return rows.join(several, "bucket", "left_semi")
 
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
     members = staged(rows.join(shared.select("bucket", "hub"), "bucket"), "members")
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = staged(stars.join(side("a"), "a").join(side("b"), "b").where(differing_bits("a", "b") <= most).select("a", "b"), "stars")
-    edges = staged(_confirmed(stars, docs, shingle_words, percent), "links")
-    first = staged(components(edges), "components")
-
-    # Buckets that still hold several components.
-    placed = members.join(first, members.rep == first.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-    rest = staged(placed.join(open_, "bucket", "left_semi"), "rest")
-    held = rest.join(sketches, "rep")
-    left = held.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), *[F.col(f"s{k}").alias(f"a{k}") for k in range(_WORDS)])
-    right = held.select(F.col("bucket").alias("bucket_"), F.col("rep").alias("b"), F.col("c").alias("cb"), *[F.col(f"s{k}").alias(f"b{k}") for k in range(_WORDS)])
-    near = (F.col("bucket") == F.col("bucket_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differing_bits("a", "b") <= most)
-    across = staged(left.join(right, near).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    more = _confirmed(across, docs, shingle_words, percent)
-    final = components(edges.union(more))
+    first = links(members.groupBy("rep").agg(F.min("hub").alias("hub")).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+
+    rest = staged(open_members(members, staged(components(first), "components")), "open")
+    one = rest.groupBy("bucket", "hub", "c").agg(F.min("rep").alias("rep")).where("rep <> hub")
+    second = first.union(links(one.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
+
+    rest = staged(open_members(rest.select("bucket", "hub", "rep"), staged(components(second), "components")), "open")
+    held = rest.select("bucket", "rep", "c").join(sketches, "rep")
+    left = side(held.withColumnRenamed("c", "ca"), "a")
+    right = side(held.withColumnRenamed("c", "cb").withColumnRenamed("bucket", "bucket_"), "b")
+    across = (F.col("bucket") == F.col("bucket_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    pairs = staged(left.join(right, across & near).select("a", "b").distinct(), "across")
+    final = components(second.union(_confirmed(pairs, docs, shingle_words, percent)))
 
     back = sets.join(final, sets.rep == final.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component"))
     same = found.select("doc_id", "n_shingles", "fp").join(back, F.col("fp") == F.col("of"), "left")

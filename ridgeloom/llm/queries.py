@@ -41,7 +41,7 @@ ORACLES["op3_quality_rules"] = rules.ORACLE
 
 @_query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
 @_query

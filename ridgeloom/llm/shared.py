@@ -6,7 +6,7 @@ import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -145,6 +145,23 @@ def encode_units(texts: list[str], encode) -> Ragged:
     return ids.take(order).grouped(group, len(texts))
 
 
+def encode_matches(units: list[str], findall: Callable[[str], list[str]], encode: Callable[[list[str]], Ragged]) -> Ragged:
+    """The ids of each unit: its pattern matches, every distinct one encoded once, joined."""
+    parts, sizes = [], []
+    for u in units:
+        if (u[1:] if u[:1] == " " else u).isalpha():  # letters only: one match of the pattern
+            parts.append(u)
+            sizes.append(1)
+        else:
+            cut = findall(u)
+            parts += cut
+            sizes.append(len(cut))
+    distinct = dict.fromkeys(parts)
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    order = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+    return encode(list(distinct)).take(order).grouped(np.repeat(np.arange(len(units)), sizes), len(units))
+
+
 def word_codes(texts: list[str], fold: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """All words of the texts: (code of each word, text it stands in, words by code).
 

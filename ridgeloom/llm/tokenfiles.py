@@ -14,6 +14,7 @@ run again leaves at most a file nobody reads.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import Ragged, drop_staged, encode_units, scratch_dir, slices, staged, texts_of
+from ridgeloom.llm.shared import Ragged, drop_staged, encode_matches, encode_units, scratch_dir, slices, staged, texts_of
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
@@ -149,24 +151,24 @@ def load(path: str):
     return tokenizer
 
 
-def encoder(path: str) -> Callable[[list[str]], Ragged]:
-    """Encodes texts with a byte-level tokenizer; every distinct unit between spaces is encoded once."""
+def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
+    """Encodes texts with a byte-level tokenizer that cuts by ``pattern``; every distinct match is encoded once."""
     tokenizer = load(path)
 
-    def units(found: list[str]) -> Ragged:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+    def distinct(parts: list[str]) -> Ragged:
+        lists = [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
-        return Ragged(flat, sizes)
+        return Ragged(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
 
-    return lambda texts: encode_units(texts, units)
+    findall = regex.compile(pattern).findall
+    return lambda texts: encode_units(texts, lambda units: encode_matches(units, findall, distinct))
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int) -> DataFrame:
     """doc_id and the little-endian ids of each whole text, the end id last."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, pattern)
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in slices(batches):
             found = encode(texts_of(batch))
@@ -178,7 +180,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> Da
     return docs.mapInArrow(work, "doc_id bigint, ids binary")
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, n_ids: int = 50_257) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, n_ids: int = 50_257) -> DataFrame:
     """Writes the files and returns their manifest: shard, file, docs, tokens, start (tokens in earlier shards).
 
     Shards follow one another in ascending document id, rows without an id first; rows that share an id stand in
@@ -187,7 +189,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, n_ids:
     """
     width = 2 if n_ids <= 1 << 16 else 4
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    once = staged(encoded(plain, tokenizer_path, end_id, width), "encoded")
+    once = staged(encoded(plain, tokenizer_path, pattern, end_id, width), "encoded")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, name = TaskContext.get().partitionId(), None, ""
@@ -231,7 +233,7 @@ def read(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
     """Writes token files of ``docs`` to the shared folder and reads every document back from them."""
     folder = f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return read(write(docs, folder, tokenizer_path, end_id))
+    return read(write(docs, folder, tokenizer_path, pattern, end_id))
