@@ -203,8 +203,8 @@ def route_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.repeated_metres(rows, "route", "at", "pair", "len")
 
 
-_CLIMB = """list_reduce(list_prepend({{'up': 0.0::double, 'ref': {0}[1]}}, list_transform({0}, z -> {{'up': 0.0::double, 'ref': z}})),
-(s, z) -> {{'up': s.up + case when abs(z.ref - s.ref) >= 2 then greatest(z.ref - s.ref, 0.0) else 0.0 end, 'ref': case when abs(z.ref - s.ref) >= 2 then z.ref else s.ref end}}).up"""
+_CLIMB = """list_reduce(list_prepend({{'up': 0.0::double, 'ref': {0}[1]}}, list_transform({0}, lambda q: {{'up': 0.0::double, 'ref': q}})),
+lambda s, q: {{'up': s.up + case when abs(q.ref - s.ref) >= 2 then greatest(q.ref - s.ref, 0.0) else 0.0 end, 'ref': case when abs(q.ref - s.ref) >= 2 then q.ref else s.ref end}}).up"""
 
 
 @query("route_climb", f"with h as (select l_suppkey as route, list(l_quantity order by l_orderkey, l_linenumber, l_quantity) as z from lineitem group by l_suppkey) select route, {_CLIMB.format('z')} as up, {_CLIMB.format('list_reverse(z)')} as down from h")
@@ -230,7 +230,7 @@ _SPARSE = "(select a, b from lat_edges where (a * 31 + b * 17) % 5 < 2)"
 
 
 @query("components", "with recursive " + WITH.removeprefix("with ") + f""", e as (select a as u, b as v from {_SPARSE} union select b, a from {_SPARSE}),
-r as (select u as node, u as at from e union select r.node, e.v from r join e on r.at = e.u), c as (select node, min(at) as component from r group by node)
+r as (select u as node, u as reached from e union select r.node, e.v from r join e on r.reached = e.u), c as (select node, min(reached) as component from r group by node)
 select node, component, count(*) over (partition by component) as size from c""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(edges(spark, sf_dir).where("(a * 31 + b * 17) % 5 < 2").select("a", "b"))
