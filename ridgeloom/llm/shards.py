@@ -91,7 +91,7 @@ class ShardStore:
     def compact(self) -> int:
         """Merges each tier with RUN shards or more; returns the latest version.
 
-        Shards of half the target or more are done. Merged shards may make the next tier full, which is merged by
+        Shards of half the target or more are done, and a merge that does not halve the number of files is dropped. Merged shards may make the next tier full, which is merged by
         the next call; a loop ends when the version stays the same.
         """
         now = self.manifest().where(F.col("bytes") < self.target_bytes // 2)
@@ -107,6 +107,9 @@ class ShardStore:
             run = uuid.uuid4().hex
             rows.write.parquet(f"{self.root}/data/{run}")
             added = self._written(run, rows.schema)
+            if 2 * added.count() > len(files):  # the session's scan packs no more into a file, so nothing is gained
+                self._files().delete(self._path(f"data/{run}"), True)
+                continue
             gone = self.spark.createDataFrame([(f,) for f in files], "file string")
             # A merged shard that another writer merged meanwhile is gone already: its rows must not count twice.
             self._commit(lambda latest, gone=gone, added=added, n=len(files): self._replaced(latest, gone, added, n))
@@ -150,7 +153,7 @@ def round_trip(rows: DataFrame, root: str) -> DataFrame:
     version, before = store.append(rows), -1
     while version != before:
         before, version = version, store.compact()
-    store.vacuum()
+        store.vacuum()  # nobody else reads this store
     found = store.read()
     return rows.limit(0) if found is None else found
 
