@@ -11,11 +11,15 @@
    and the confirmed links give components.
 4. In buckets that still hold several components, one member of each is compared with the hub in the same way.
 5. Two members of a bucket in different components may still be similar to each other, though not to the hub.
-   Those pairs alone are compared last, all of them, sketch and sizes within the join condition, and confirmed.
-   Pairs within a component need no look: they cannot change it.
-
-So every pair that shares a bucket is confirmed, sifted out by its sketch, or already connected. A pair at 0.8
-shares no bucket with probability (1 - 0.8**5)**40, below 2e-7, and is sifted out with about as much.
+   They alone are compared last. Besides the odd sketch of its MinHash values each carries the parity bitmap of
+   its set, in which every shingle flips one bit: the population count of the XOR of two never exceeds the number
+   of shingles that only one of the sets has, so sets under PARITY_SET shingles are ruled out without error, and
+   larger ones by a hashed part of their shingles. Both bitmaps and the sizes stand within the join condition,
+   so that few pairs but the linked ones leave the join; those are confirmed. Pairs within a component need no
+   look: they cannot change it.
+
+So every pair that shares a bucket is confirmed, ruled out, or already connected. A pair at 0.8 shares no bucket
+with probability (1 - 0.8**5)**40, below 2e-7, and is sifted out by its sketch with about as much.
 """
 
 from __future__ import annotations
@@ -35,6 +39,11 @@ BANDS, BAND_ROWS, SKETCH_BITS = 40, 5, 512
 _HASHES, _WORDS = BANDS * BAND_ROWS, SKETCH_BITS // 64
 #: Candidates whose sketches estimate less than the asked similarity minus this are dropped (over four and a half sigma).
 SLACK = 0.14
+#: Bits of a set's parity bitmap; sets from PARITY_SET shingles on are halved by hash until they are smaller.
+PARITY_BITS, PARITY_SET = 2048, 1024
+_PARITY_WORDS = PARITY_BITS // 64
+#: Standard deviations that a hashed part may hold more differing shingles than expected at the asked similarity.
+PARITY_SIGMAS = 6
 
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = _seeds.integers(0, 1 << 32, _HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -130,6 +139,27 @@ def odd_sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sig), _WORDS)
 
 
+def parity_bitmaps(hashes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, level, words) of the parity bitmaps of each set: at level j, of the shingles whose hash ends in j zero bits.
+
+    A set's own level is the first that leaves less than PARITY_SET shingles to expect. It has a second bitmap, one
+    level up, only if a set large enough for that level can be as similar as ``percent``.
+    """
+    mixed = _mix(hashes)
+    bit = (mixed >> np.uint64(40)).astype(np.int64) % PARITY_BITS
+    starts = np.cumsum(sizes) - sizes
+    texts, levels, maps = [], [], []
+    for i, (at, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+        own = max(0, size.bit_length() - PARITY_SET.bit_length() + 1)
+        for level in (own, own + 1) if size * 100 >= percent * (PARITY_SET << own) else (own,):
+            part = mixed[at : at + size] & np.uint64((1 << level) - 1) == 0
+            texts.append(i)
+            levels.append(level)
+            maps.append(np.packbits(np.bincount(bit[at : at + size][part], minlength=PARITY_BITS).astype(np.uint8) & 1, bitorder="little"))
+    words = np.concatenate(maps).view("<i8").reshape(-1, _PARITY_WORDS) if maps else np.empty((0, _PARITY_WORDS), np.int64)
+    return np.array(texts, np.int64), np.array(levels, np.int32), words
+
+
 def _lists(rows: np.ndarray, keep: np.ndarray) -> pa.Array:
     """A list array of the rows, null where ``keep`` is false."""
     width = rows.shape[1]
@@ -168,10 +198,26 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id bigint, shingles array<bigint>")
 
 
-def differing_bits(a: str, b: str) -> Column:
-    """Population count of the XOR of two sketches held as columns a0.. and b0.."""
+def parity_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, size, own (its set's own level), level and the words p0.. of each parity bitmap of its set."""
+    names = ["doc_id", "size", "own", "level", *[f"p{k}" for k in range(_PARITY_WORDS)]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, sizes = shingle_sets(texts_of(batch), n)
+            texts, levels, words = parity_bitmaps(hashes, sizes, percent)
+            own = np.full(len(sizes), levels.max(initial=0), np.int32)
+            np.minimum.at(own, texts, levels)
+            columns = [batch.column("doc_id").take(pa.array(texts)), pa.array(sizes[texts]), pa.array(own[texts]), pa.array(levels), *[pa.array(np.ascontiguousarray(w)) for w in words.T]]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(work, "doc_id bigint, size bigint, own int, level int, " + ", ".join(f"{p} bigint" for p in names[4:]))
+
+
+def differing_bits(a: str, b: str, words: int = _WORDS) -> Column:
+    """Population count of the XOR of two bitmaps held as columns a0.. and b0.."""
     total = F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0")))
-    for k in range(1, _WORDS):
+    for k in range(1, words):
         total = total + F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
     return total
 
@@ -181,6 +227,13 @@ def most_differing_bits(similarity: float) -> int:
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * _HASHES * (1 - similarity))))
 
 
+def parity_allows(level: Column, sizes: Column, differing: Column, percent: int) -> Column:
+    """Whether bitmaps of a level that differ in so many bits leave sets of so many shingles in all similar enough."""
+    most = sizes * (100 - percent) / (100 + percent)
+    expected = most / F.pow(F.lit(2.0), level)
+    return F.when(level == 0, differing <= most).otherwise(differing <= expected + PARITY_SIGMAS * F.sqrt(expected))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -221,6 +274,12 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*[c for c in rows.columns if c not in ("rep", "size", *words)], F.col("rep").alias(name), F.col("size").alias(f"{name}size"), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_WORDS)])
 
+    def both_sides(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        bits = [f"p{k}" for k in range(_PARITY_WORDS)]
+        left, right = side(held, "a"), side(held, "b")
+        left, right = (rows.withColumnsRenamed({p: f"{x}{p}" for p in bits}) for rows, x in ((left, "a"), (right, "b")))
+        return left, right.withColumnsRenamed({k: f"{k}_" for k in ("bucket", "level", "own", "c")})
+
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are sifted and confirmed, written once."""
         sifted = staged(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"), "sifted")
@@ -242,11 +301,15 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     second = first.union(links(one.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
 
     rest = staged(open_members(rest.select("bucket", "hub", "rep"), staged(components(second), "components")), "open")
-    held = rest.select("bucket", "rep", "c").join(sketches, "rep")
-    left = side(held.withColumnRenamed("c", "ca"), "a")
-    right = side(held.withColumnRenamed("c", "cb").withColumnRenamed("bucket", "bucket_"), "b")
-    across = (F.col("bucket") == F.col("bucket_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    pairs = staged(left.join(right, across & near).select("a", "b").distinct(), "across")
+    texts = docs.join(rest.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    parity = staged(parity_table(texts, shingle_words, percent), "parity").withColumnRenamed("doc_id", "rep")
+    held = rest.select("bucket", "rep", "c").join(sketches, "rep").join(parity, ["rep", "size"])
+    left, right = both_sides(held)
+    # Two sets meet at the higher of their levels; a repeated id has bitmaps of each of its texts.
+    same = [F.col("bucket") == F.col("bucket_"), F.col("level") == F.col("level_"), F.col("level") == F.greatest("own", "own_")]
+    across = same[0] & same[1] & same[2] & (F.col("a") < F.col("b")) & (F.col("c") != F.col("c_")) & near
+    allowed = parity_allows(F.col("level"), F.col("asize") + F.col("bsize"), differing_bits("ap", "bp", _PARITY_WORDS), percent)
+    pairs = staged(left.join(right, across & allowed).select("a", "b").distinct(), "across")
     final = components(second.union(_confirmed(pairs, docs, shingle_words, percent)))
 
     back = sets.join(final, sets.rep == final.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component"))

@@ -96,3 +96,29 @@ def test_sketch_estimates_are_close():
     sk = neardup.odd_sketches(neardup.signatures(h, s)).view("u8")
     bits = sum(int(x).bit_count() for x in sk[0] ^ sk[1])
     assert abs(bits - neardup.most_differing_bits(0.9)) < 25
+
+
+def test_parity_bitmaps_never_rule_out_a_similar_pair():
+    """Below PARITY_SET shingles the bound is exact; above it the hashed part keeps similar pairs, far ones go."""
+    rng = random.Random(5)
+    kept = far = 0
+    for size in [3, 40, 300, 830, 1000, 1100, 1900, 2100, 5000] * 6:
+        a = [str(rng.random()) for _ in range(size)]
+        for share in (0.6, 0.84, 0.9, 1):
+            b = [w if rng.random() < share else str(rng.random()) for w in a] + ["x"] * (rng.random() < 0.5)
+            hashes, sizes = neardup.shingle_sets([" ".join(a), " ".join(b)], 1)
+            texts, levels, words = neardup.parity_bitmaps(hashes, sizes, 80)
+            maps = {(t, l): w for t, l, w in zip(texts.tolist(), levels.tolist(), words, strict=True)}
+            level = max(min(l for t, l in maps if t == k) for k in (0, 1))
+            both = len(set(a) & set(b))
+            similar = 100 * both >= 80 * (len(set(a)) + len(set(b)) - both)
+            if (0, level) not in maps or (1, level) not in maps:
+                assert not similar
+                continue
+            bits = sum(int(x).bit_count() for x in (maps[0, level] ^ maps[1, level]).view("u8"))
+            most = sum(sizes.tolist()) * 20 / 180
+            allowed = bits <= most if level == 0 else bits <= most / 2**level + neardup.PARITY_SIGMAS * (most / 2**level) ** 0.5
+            assert allowed or not similar
+            kept += similar
+            far += not allowed
+    assert kept > 80 and far > 50
