@@ -199,8 +199,8 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
 
 
 def parity_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, own (its set's own level), level and the words p0.. of each parity bitmap of its set."""
-    names = ["doc_id", "size", "own", "level", *[f"p{k}" for k in range(_PARITY_WORDS)]]
+    """doc_id, size, own (its set's own level), level and parity (the words of the bitmap) of each parity bitmap of its set."""
+    names = ["doc_id", "size", "own", "level", "parity"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -208,16 +208,16 @@ def parity_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
             texts, levels, words = parity_bitmaps(hashes, sizes, percent)
             own = np.full(len(sizes), levels.max(initial=0), np.int32)
             np.minimum.at(own, texts, levels)
-            columns = [batch.column("doc_id").take(pa.array(texts)), pa.array(sizes[texts]), pa.array(own[texts]), pa.array(levels), *[pa.array(np.ascontiguousarray(w)) for w in words.T]]
+            columns = [batch.column("doc_id").take(pa.array(texts)), pa.array(sizes[texts]), pa.array(own[texts]), pa.array(levels), _lists(words, np.ones(len(words), bool))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(work, "doc_id bigint, size bigint, own int, level int, " + ", ".join(f"{p} bigint" for p in names[4:]))
+    return docs.mapInArrow(work, "doc_id bigint, size bigint, own int, level int, parity array<bigint>")
 
 
-def differing_bits(a: str, b: str, words: int = _WORDS) -> Column:
-    """Population count of the XOR of two bitmaps held as columns a0.. and b0.."""
+def differing_bits(a: str, b: str) -> Column:
+    """Population count of the XOR of two sketches held as columns a0.. and b0.."""
     total = F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0")))
-    for k in range(1, words):
+    for k in range(1, _WORDS):
         total = total + F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
     return total
 
@@ -227,6 +227,11 @@ def most_differing_bits(similarity: float) -> int:
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * _HASHES * (1 - similarity))))
 
 
+def differing_parity(a: str, b: str) -> Column:
+    """The same of two bitmaps held as arrays: as many columns would make a method too long to be compiled."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+
+
 def parity_allows(level: Column, sizes: Column, differing: Column, percent: int) -> Column:
     """Whether bitmaps of a level that differ in so many bits leave sets of so many shingles in all similar enough."""
     most = sizes * (100 - percent) / (100 + percent)
@@ -274,12 +279,6 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*[c for c in rows.columns if c not in ("rep", "size", *words)], F.col("rep").alias(name), F.col("size").alias(f"{name}size"), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_WORDS)])
 
-    def both_sides(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        bits = [f"p{k}" for k in range(_PARITY_WORDS)]
-        left, right = side(held, "a"), side(held, "b")
-        left, right = (rows.withColumnsRenamed({p: f"{x}{p}" for p in bits}) for rows, x in ((left, "a"), (right, "b")))
-        return left, right.withColumnsRenamed({k: f"{k}_" for k in ("bucket", "level", "own", "c")})
-
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are sifted and confirmed, written once."""
         sifted = staged(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"), "sifted")
@@ -304,11 +303,12 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     texts = docs.join(rest.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     parity = staged(parity_table(texts, shingle_words, percent), "parity").withColumnRenamed("doc_id", "rep")
     held = rest.select("bucket", "rep", "c").join(sketches, "rep").join(parity, ["rep", "size"])
-    left, right = both_sides(held)
+    left = side(held, "a").withColumnRenamed("parity", "aparity")
+    right = side(held, "b").withColumnsRenamed({"parity": "bparity", **{k: f"{k}_" for k in ("bucket", "level", "own", "c")}})
     # Two sets meet at the higher of their levels; a repeated id has bitmaps of each of its texts.
     same = [F.col("bucket") == F.col("bucket_"), F.col("level") == F.col("level_"), F.col("level") == F.greatest("own", "own_")]
     across = same[0] & same[1] & same[2] & (F.col("a") < F.col("b")) & (F.col("c") != F.col("c_")) & near
-    allowed = parity_allows(F.col("level"), F.col("asize") + F.col("bsize"), differing_bits("ap", "bp", _PARITY_WORDS), percent)
+    allowed = parity_allows(F.col("level"), F.col("asize") + F.col("bsize"), differing_parity("aparity", "bparity"), percent)
     pairs = staged(left.join(right, across & allowed).select("a", "b").distinct(), "across")
     final = components(second.union(_confirmed(pairs, docs, shingle_words, percent)))
 
