@@ -172,6 +172,48 @@ def test_leaks_and_paraphrases(spark):
     assert leaks.leaks(docs, benchmark.limit(0)).collect() == []
 
 
+def confirmed_by_brute_force(texts, items):
+    """(text, item) of every pair that the confirmation accepts anywhere, without windows' vectors or gates."""
+    cut = [leaks.words_of(t) for t in texts]
+    idf = lambda w: np.log((1 + len(texts)) / (1 + sum(w in c for c in map(set, cut)))) + 0.1
+    weights = {w: idf(w) for w in {w for t in items for w in leaks.words_of(t)}}
+    number = {w: i for i, w in enumerate({w for c in cut for w in c} | set(weights))}
+    out = set()
+    for d, words in enumerate(cut):
+        for i, t in enumerate(items):
+            item, answer = leaks.words_of(t), set(leaks.answer_of(t))
+            for at in range(0, len(words), leaks.STRIDE):
+                region = words[max(0, at - len(item) - leaks.STRIDE) : at + leaks.WINDOW + len(item) + leaks.STRIDE]
+                share = leaks.lcs([number[w] for w in item], [number[w] for w in region]) / len(item)
+                said = sum(weights[w] for w in answer & set(region)) / sum(weights[w] for w in answer)
+                if share >= 0.75 or (share >= 0.5 and said >= 0.7):
+                    out.add((d, i))
+    return out
+
+
+def test_paraphrases_among_the_items_own_words_match_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(800)]
+    common = [1 / (k + 3) for k in range(len(vocabulary))]
+    some = lambda n: rng.choices(vocabulary, common, k=n)
+    items = [[some(rng.randrange(10, 45)), some(rng.randrange(5, 12))] for _ in range(30)]
+    texts, planted = [], set()
+    for i, (body, answer) in enumerate(items):
+        for percent in (50, 55, 60, 75):
+            n = -(-percent * (len(body) + len(answer)) // 100) - len(answer)
+            kept = set(rng.sample(range(len(body)), max(0, n)))
+            changed = [w if k in kept else some(1)[0] for k, w in enumerate(body)]
+            planted.add((len(texts), i))
+            texts.append(" ".join(some(rng.randrange(150)) + changed + answer + some(rng.randrange(150))))
+    texts += [" ".join(some(200)) for _ in range(40)]
+    written = [f"{' '.join(body)}. {' '.join(answer)}." for body, answer in items]
+    want = confirmed_by_brute_force(texts, written)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(enumerate(written)), "item_id bigint, text string")
+    assert planted <= want
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, benchmark).collect()} == want
+
+
 def test_lcs():
     assert leaks.lcs([1, 2, 3, 4], [2, 9, 4, 1, 3, 4]) == 3 and leaks.lcs([1, 1, 2], [1, 2, 1]) == 2
 
