@@ -238,10 +238,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("path_costs")
 def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs from the first node over at most 12 edges, both directions, in the profile for any surface."""
+    """Costs from the first node to all that it reaches, both directions, in the profile for any surface."""
     priced = ways.priced(edges(spark, sf_dir)).where("profile = 'any'").select("a", "b", "cost", "dz")
     back = priced.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("cost") - 8 * F.greatest("dz", F.lit(0.0)) + 8 * F.greatest(-F.col("dz"), F.lit(0.0))).alias("cost"))
-    found = graph.distances(priced.select("a", "b", "cost").union(back), spark.range(1).select(F.col("id").cast("int").alias("id")), rounds=12)
+    found = graph.distances(priced.select("a", "b", "cost").union(back), spark.range(1).select(F.col("id").cast("int").alias("id")))
     return found.select("source", "node", F.round("cost", 3).alias("cost"), geo.quantized(F.col("cost")).alias("units"))
 
 

@@ -1,10 +1,13 @@
+import heapq
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeloom.functions import geo, ways
 from ridgeloom.operators import graph, routes, spatial
+from ridgeloom.plans import catalog
 
 
 def one(spark, **columns):
@@ -58,6 +61,43 @@ def test_components_and_costs_match_brute_force(spark):
     assert {r.node: r.cost for r in found.collect()} == pytest.approx(best)
 
 
+def cheapest(pairs, source):
+    best, heap, near = {}, [(0.0, source)], {}
+    for a, b, c in pairs:
+        near.setdefault(a, []).append((b, c))
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = cost
+            for b, c in near.get(node, ()):
+                heapq.heappush(heap, (cost + c, b))
+    return best
+
+
+def test_costs_reach_the_end_of_long_paths(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(k, k + 1, 1.0) for k in range(200)] + [(rng.randrange(200), rng.randrange(200), rng.uniform(5, 60)) for _ in range(60)] + [(500, 501, 1.0)]
+    edges = spark.createDataFrame([*pairs, (0, 7, None), (None, 8, 1.0)], "a int, b int, cost double")
+    sources = spark.createDataFrame([(0,), (150,), (900,), (None,), (0,)], "id int")
+    want = {(s, n): c for s in (0, 150, 900) for n, c in cheapest(pairs, s).items()}
+    for size in (graph.BLOCK_EDGES, 40):
+        monkeypatch.setattr(graph, "BLOCK_EDGES", size)
+        rows = graph.distances(edges, sources).collect()
+        assert {(r.source, r.node): r.cost for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert graph.distances(edges.limit(0), sources).count() == 3
+    with pytest.raises(ValueError):
+        graph.distances(spark.createDataFrame([(1, 2, -1.0)], "a int, b int, cost double"), sources)
+
+
+def test_path_costs_match_brute_force_over_the_lattice(spark):
+    base = "/root/testdata/sf0.001"
+    rows = ways.priced(catalog.edges(spark, base)).where("profile = 'any'").select("a", "b", "cost", "dz").collect()
+    pairs = [(r.a, r.b, r.cost) for r in rows] + [(r.b, r.a, r.cost - 8 * max(r.dz, 0) + 8 * max(-r.dz, 0)) for r in rows]
+    sources = {r.source for r in catalog.path_costs(spark, base).select("source").distinct().collect()}
+    assert sources == {0}
+    assert {r.node: r.cost for r in catalog.path_costs(spark, base).collect()} == pytest.approx(cheapest(pairs, 0), abs=0.001)
+
+
 def test_within_matches_brute_force(spark):
     nodes = [(i, 45 + (i * 37 % 100) / 5000, 6 + (i * 53 % 100) / 4000) for i in range(100)]
     points = [(i, 45.001 + i / 3000, 6.002 + i / 2500) for i in range(10)]
