@@ -61,6 +61,38 @@ def test_components_and_costs_match_brute_force(spark):
     assert {r.node: r.cost for r in found.collect()} == pytest.approx(best)
 
 
+def united(pairs):
+    """(component, size) of each node by union-find."""
+    up = {}
+
+    def top(n):
+        up.setdefault(n, n)
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    tops = {n: top(n) for n in up}
+    return {n: (t, list(tops.values()).count(t)) for n, t in tops.items()}
+
+
+def test_components_of_all_edges_match_union_find(spark):
+    import __spark_entry__
+
+    base = "/root/testdata/sf0.001"
+    pairs = [(r.a, r.b) for r in catalog.edges(spark, base).select("a", "b").collect()]
+    found = __spark_entry__.queries()["components_all"](spark, base).collect()
+    assert {r.node: (r.component, r.size) for r in found} == united(pairs) and len(found) == len(united(pairs))
+    rng = random.Random(8)
+    pairs = [(10 * k + rng.randrange(10), 10 * k + rng.randrange(10)) for k in range(12) for _ in range(14)] + [(3, 45), (45, 99)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    found = graph.components(spark.createDataFrame(pairs, "a int, b int")).collect()
+    assert {r.node: (r.component, r.size) for r in found} == united(pairs) and len(found) == len(united(pairs))
+    assert len({r.component for r in found}) > 3
+
+
 def cheapest(pairs, source):
     best, heap, near = {}, [(0.0, source)], {}
     for a, b, c in pairs:
