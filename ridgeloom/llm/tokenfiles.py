@@ -139,29 +139,43 @@ class TokenFile:
 
 
 @lru_cache(maxsize=4)
-def load(path: str):
-    """The tokenizer of a JSON file, once per Python process and on one thread; special tokens' strings are text."""
+def load(path: str, special_as_text: bool = False):
+    """The tokenizer of a JSON file, once per Python process and on one thread."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return tokenizer
 
 
 def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
-    """Encodes texts with a byte-level tokenizer that cuts by ``pattern``; every distinct match is encoded once."""
-    tokenizer = load(path)
+    """Encodes texts with a byte-level tokenizer that cuts by ``pattern``; every distinct match is encoded once.
+
+    A text that holds an added token's string goes to the library whole, as that string is no match of the pattern.
+    """
+    tokenizer, matcher = load(path), load(path, special_as_text=True)
+    added = [a.content for a in tokenizer.get_added_tokens_decoder().values()]
 
     def distinct(parts: list[str]) -> Ragged:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        lists = [e.ids for e in matcher.encode_batch_fast(parts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return Ragged(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
 
     findall = regex.compile(pattern).findall
-    return lambda texts: encode_units(texts, lambda units: encode_matches(units, findall, distinct))
+
+    def encode(texts: list[str]) -> Ragged:
+        marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
+        found = encode_units(["" if i in marked else t for i, t in enumerate(texts)] if marked else texts, lambda units: encode_matches(units, findall, distinct))
+        if not marked:
+            return found
+        cuts = zip(found.start.tolist(), (found.start + found.size).tolist(), strict=True)
+        lists = [np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in marked else found.flat[a:b] for i, (a, b) in enumerate(cuts)]
+        return Ragged(np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    return encode
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int) -> DataFrame:

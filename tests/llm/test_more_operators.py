@@ -60,6 +60,17 @@ def test_token_files_round_trip(spark):
     assert tokenfiles.round_trip(docs.limit(0), JSON, public_tokenizers.PATTERN, 2).collect() == []
 
 
+def test_added_tokens_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = ["a" + mark + "b", mark, None, "", "plain text, no mark", f"  two {mark}\n\n{mark} é\U0001f600 ", "<|endoftext |>", mark * 3]
+    found = tokenfiles.encoder(JSON, public_tokenizers.PATTERN)(texts)
+    plain = Tokenizer.from_file(JSON)
+    got = [found.flat[a : a + n].tolist() for a, n in zip(found.start, found.size, strict=True)]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts] and got[0] == [64, 50256, 65]
+
+
 def test_token_file_reads_only_wanted_frames(tmp_path):
     path = f"file://{tmp_path}/a.tokens.zst"
     rng, out = np.random.default_rng(2), tokenfiles.TokenFileWriter(path, 2, frame_bytes=1000)
