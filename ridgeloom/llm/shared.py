@@ -29,10 +29,19 @@ def _own_scratch() -> str:
     return f"file://{tempfile.mkdtemp(prefix='ridgeloom-')}"
 
 
+def _set_folder(context) -> str | None:
+    folder = context._jsc.sc().getCheckpointDir()
+    return folder.get() if folder.isDefined() else None
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or _own_scratch()).rstrip('/')}/ridgeloom-{spark.sparkContext.applicationId}"
+    """The shared folder of spark.checkpoint.dir, or of ``setCheckpointDir``; one of our own only where none is set and
+    the session is local, as in tests. Everything written lies in one folder named after the application."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _set_folder(context)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(named or _own_scratch()).rstrip('/')}/ridgeloom-{context.applicationId}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

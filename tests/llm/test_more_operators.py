@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ridgeloom.llm import leaks, quality, quotes, secrets, shards, tokenfiles
+from ridgeloom.llm import leaks, quality, secrets, shards, tokenfiles
 
 BASE = "/root/testdata/sf0.001"
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -151,19 +151,6 @@ def test_shards(spark, tmp_path):
     assert shards.round_trip(odd_documents(spark), f"file://{tmp_path}/odd").count() == len(ODD)
 
 
-def test_quotes(spark):
-    rows = [
-        (1, 0, "a", "First point.\nSecond  point."), (1, 1, "b", "Mine."), (1, 2, "c", "On Monday, a wrote:\n> second POINT.\nYes."),
-        (1, 3, "d", ">> Second point.\n> Yes.\nIndeed."), (1, 4, "e", "> said by nobody\nHm."), (2, 0, "a", None), (2, 0, "a", ""), (None, 1, "x", "> First point."),
-    ]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as level", "2 as thread")
-    got = {(r.conv_id, r.turn, r.role): (r.text, r.n_quoted, r.reply_to, r.thread, r.depth) for r in quotes.format_chats(df).where("conv_id = 1").collect()}
-    assert got[1, 2, "c"] == ("Yes.", 1, 0, 0, 1)
-    assert got[1, 3, "d"] == ("Indeed.", 2, 2, 0, 2)
-    assert got[1, 4, "e"] == ("Hm.", 1, None, 4, 0) and got[1, 1, "b"] == ("Mine.", 0, None, 1, 0)
-    assert quotes.format_chats(df).count() == len(rows) and quotes.format_chats(df.limit(0)).collect() == []
-
-
 def test_leaks_and_paraphrases(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
