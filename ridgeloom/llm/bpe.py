@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with padded numpy matrices.
 
 Every distinct pre-token becomes a row of a matrix of its length bucket. In each round every row merges its
-leftmost pair of minimum rank; pair ranks come from a hashed table, and the two cells a merge leaves behind
-are compacted away, so all rows of a matrix shrink by one column a round. A row without a known pair is done.
+leftmost pair of minimum rank; pair ranks come from a hashed table, and the cell a merge leaves behind is compacted
+away. A row without a known pair is done. Rows of more than LONG / 2 bytes make in one round the merges of as many
+rounds as keep their minimum rank, which are the same merges in the same order.
 
 Rows are independent, so the job is one narrow stage: no shuffle, memory bounded by a slice of rows and by
 the bounded caches of a Python worker. A lost executor only repeats its own partitions.
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,14 +21,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ridgeloom.llm.shared import Ragged, encode_matches, encode_units, slices, texts_of
+from ridgeloom.llm.shared import Ragged, encode_by, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
-_PAD = np.int32(2**17 - 1)
+_PAD = np.int32(2**31 - 1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-#: Upper bounds of the length buckets of a matrix; a longer pre-token goes through a heap of its own.
-BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
+#: Upper bounds of the length buckets of a matrix; from LONG on they double. Cells of a matrix, about.
+BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, *(1 << k for k in range(8, 32)))
+LONG, CELLS = 256, 1 << 20
 
 
 class HashedPairs:
@@ -53,7 +54,7 @@ class HashedPairs:
         return ((keys.astype(np.uint64) * _GOLDEN) >> self.shift).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.int64) << 17) | right
+        key = (left.astype(np.int64) << 32) | right
         slot = self._home(key)
         at = self.keys[slot]
         out = np.where(at == key, self.values[slot], _NONE)
@@ -74,15 +75,13 @@ class ByteBpe:
     """A rank vocabulary; ids are ranks, as in the rank-file format (base64 token, space, rank per line)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if max(ranks.values()) >= _PAD:
-            raise ValueError("ranks must be below 131071")
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         keys, values = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    keys.append(a << 17 | b)
+                    keys.append(a << 32 | b)
                     values.append(rank)
         self.pairs = HashedPairs(np.array(keys, np.int64), np.array(values, np.int32))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -96,34 +95,30 @@ class ByteBpe:
 
     # -- encoding ---------------------------------------------------------------------------------
 
-    def _encode_units(self, found: list[str]) -> Ragged:
-        return encode_matches(found, self.pattern.findall, lambda parts: self.encode_pretokens([x.encode() for x in parts]))
-
     def encode_pretokens(self, found: list[bytes]) -> Ragged:
         """The ids of each pre-token, bucket by bucket of length."""
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(sizes) - sizes
-        raw = np.frombuffer(b"".join(found) + b"\0" * BUCKETS[-1], np.uint8)
+        raw = np.frombuffer(b"".join(found), np.uint8)
         bucket = np.searchsorted(BUCKETS, sizes)
         whole = np.fromiter((self.ranks.get(x, -1) for x in found), np.int32, len(found))
         known = np.flatnonzero(whole >= 0)
         bucket[known] = bucket[sizes == 0] = -1
         flats, members, lengths = [whole[known]], [known], [np.ones(len(known), np.int64)]
-        for k, width in enumerate(BUCKETS):
+        for k in np.unique(bucket[bucket >= 0]).tolist():
             own = np.flatnonzero(bucket == k)
-            for at in range(0, len(own), 8192):
-                rows = own[at : at + 8192]
-                m = self.byte_ids[raw[starts[rows][:, None] + np.arange(width)]]
-                m[np.arange(width) >= sizes[rows][:, None]] = _PAD
-                for ended, who in self._merge_rows(m, rows):
+            width = int(sizes[own].max())
+            merge = self._merge_places if BUCKETS[k] >= LONG else self._merge_rows
+            step = max(1, min(8192, CELLS // width))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
+                inside = np.arange(width) < sizes[rows][:, None]
+                m = np.full(inside.shape, _PAD, np.int32)
+                m[inside] = self.byte_ids[Ragged(raw, sizes).take(rows).flat]
+                for ended, who in merge(m, rows):
                     real = ended != _PAD
                     flats.append(ended[real])
                     members.append(who)
                     lengths.append(real.sum(1))
-        for i in np.flatnonzero(bucket == len(BUCKETS)):
-            flats.append(self._merge_long(found[i]))
-            members.append(np.array([i]))
-            lengths.append(np.array([len(flats[-1])]))
         back = np.empty(len(found), np.int64)
         back[:] = -1
         who = np.concatenate(members)
@@ -162,31 +157,40 @@ class ByteBpe:
                 jr = j[right]
                 r[right, jr] = self.pairs.ranks(m[right, jr], m[right, jr + 1])
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one very long pre-token, by a heap of (rank, place) over a linked list."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := self._rank(ids[i], ids[i + 1])) != _NONE]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, j = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and after[i] == j and self._rank(ids[i], ids[j]) == rank):
-                continue  # one of its ends has merged since
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self._rank(ids[a], ids[b])) != _NONE:
-                    heapq.heappush(heap, (r, a, b))
-        return np.array([x for x, live in zip(ids, alive, strict=True) if live], np.int64)
-
-    def _rank(self, a: int, b: int) -> int:
-        return self.ranks.get(self.spelled[a] + self.spelled[b], int(_NONE))
+    def _merge_places(self, m: np.ndarray, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same, but a round merges many places of a row's minimum rank, the left of two that overlap.
+
+        It stops at the first place where the merged token and a neighbour, as they stand once the places before it
+        are merged, have a lower rank: that pair would be next. So the merges are those of single ones, in their order.
+        """
+        for row, who in zip(m, members, strict=True):
+            ids = row[row != _PAD]
+            r = self.pairs.ranks(ids[:-1], ids[1:])
+            while len(r) and (best := r.min()) != _NONE:
+                places = np.flatnonzero(r == best)
+                order = np.arange(len(places))
+                run = np.maximum.accumulate(np.where(np.diff(places, prepend=-2) != 1, order, 0))
+                places = places[(order - run) % 2 == 0]
+                merged = np.full(len(places), best, np.int32)
+                left = ids[np.maximum(places - 1, 0)]
+                left[1:][np.diff(places) == 2] = best
+                lower = (self.pairs.ranks(left, merged) < best) & (places > 0)
+                lower |= (self.pairs.ranks(merged, ids[np.minimum(places + 2, len(ids) - 1)]) < best) & (places + 2 < len(ids))
+                if lower.any():
+                    places = places[: int(lower.argmax()) + 1]
+                ids[places] = best
+                keep = np.ones(len(ids), bool)
+                keep[places + 1] = False
+                ids = ids[keep]
+                r = np.delete(r, places)  # a merged pair's own rank; the ranks beside it change
+                now = places - np.arange(len(places))
+                for beside in (now[now > 0] - 1, now[now < len(r)]):
+                    r[beside] = self.pairs.ranks(ids[beside], ids[beside + 1])
+            yield ids[None], np.array([who])
 
     def encode(self, texts: list[str]) -> Ragged:
         """Ids of each whole text, every match of the pattern encoded separately."""
-        return encode_units(texts, self._encode_units)
+        return encode_by(self.pattern, texts, lambda parts: self.encode_pretokens([x.encode() for x in parts]))
 
     # -- decoding ---------------------------------------------------------------------------------
 

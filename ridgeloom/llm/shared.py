@@ -12,6 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but the space, tab, newline, vertical tab, form feed and carriage return.
@@ -108,6 +109,8 @@ class Ragged:
         return self.flat[self.start[i] : self.start[i] + self.size[i]]
 
 
+#: Fixed value: the only pattern whose matches are known to start where ``encode_units`` cuts and to span letters.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TWO_SPACES = re.compile(r"\s\s")
 _UNIT_START = re.compile(r"(?<=\S)(?= \S)")
 
@@ -154,15 +157,16 @@ def encode_units(texts: list[str], encode) -> Ragged:
     return ids.take(order).grouped(group, len(texts))
 
 
-def encode_matches(units: list[str], findall: Callable[[str], list[str]], encode: Callable[[list[str]], Ragged]) -> Ragged:
+def encode_matches(units: list[str], pattern: regex.Pattern, encode: Callable[[list[str]], Ragged]) -> Ragged:
     """The ids of each unit: its pattern matches, every distinct one encoded once, joined."""
     parts, sizes = [], []
+    letters_match = pattern.pattern == CUT_PATTERN
     for u in units:
-        if (u[1:] if u[:1] == " " else u).isalpha():  # letters only: one match of the pattern
+        if letters_match and (u[1:] if u[:1] == " " else u).isalpha():  # letters only: one match of the pattern
             parts.append(u)
             sizes.append(1)
         else:
-            cut = findall(u)
+            cut = [m.group() for m in pattern.finditer(u)]
             parts += cut
             sizes.append(len(cut))
     distinct = dict.fromkeys(parts)
@@ -171,6 +175,14 @@ def encode_matches(units: list[str], findall: Callable[[str], list[str]], encode
     return encode(list(distinct)).take(order).grouped(np.repeat(np.arange(len(units)), sizes), len(units))
 
 
+def encode_by(pattern: regex.Pattern, texts: list[str], encode: Callable[[list[str]], Ragged]) -> Ragged:
+    """The ids of each whole text whose matches of the pattern are encoded separately; another pattern than CUT_PATTERN
+    cuts whole texts, as nothing is known of its matches."""
+    if pattern.pattern != CUT_PATTERN:
+        return encode_matches(texts, pattern, encode)
+    return encode_units(texts, lambda units: encode_matches(units, pattern, encode))
+
+
 def word_codes(texts: list[str], fold: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """All words of the texts: (code of each word, text it stands in, words by code).
 

@@ -7,9 +7,10 @@ for each frame its compressed size, its size and the low 32 bits of the XXH64 of
 frames, a descriptor byte and the format's magic number. Any zstandard decoder reads such a file from start to
 end; ``TokenFile`` reads the table first and then only the frames that hold a wanted document.
 
-Ids are encoded once, written as a table, dealt out by ranges of document id and written by the task that holds
-the range, under a name of the attempt's own. What the written manifest names is what counts, so a task that is
-run again leaves at most a file nobody reads.
+Each file holds a range of document ids. The bounds of the ranges come from a sample of the ids alone, so that texts
+are encoded once, go through one shuffle and are written by the task that holds their range, under a name of the
+attempt's own. What the written manifest names is what counts, so a task that is run again leaves at most a file
+nobody reads.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ import regex
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import Ragged, drop_staged, encode_matches, encode_units, scratch_dir, slices, staged, texts_of
+from ridgeloom.llm.shared import Ragged, encode_by, scratch_dir, slices, staged, texts_of
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
+#: Documents of a file, about; ids sampled for each file to find the bounds (any bounds give the same ids and starts).
+FILE_DOCS, SAMPLED = 1 << 15, 64
 #: Fixed values of the zstandard formats: skippable frames, the seek table's footer, its checksum flag.
 _INDEX_MAGIC, _SEEK_MAGIC, _FOOTER_MAGIC, _CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -164,11 +166,11 @@ def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return Ragged(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
 
-    findall = regex.compile(pattern).findall
+    compiled = regex.compile(pattern)
 
     def encode(texts: list[str]) -> Ragged:
         marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
-        found = encode_units(["" if i in marked else t for i, t in enumerate(texts)] if marked else texts, lambda units: encode_matches(units, findall, distinct))
+        found = encode_by(compiled, ["" if i in marked else t for i, t in enumerate(texts)] if marked else texts, distinct)
         if not marked:
             return found
         cuts = zip(found.start.tolist(), (found.start + found.size).tolist(), strict=True)
@@ -178,8 +180,19 @@ def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
     return encode
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int) -> DataFrame:
-    """doc_id and the little-endian ids of each whole text, the end id last."""
+def bounds(docs: DataFrame, file_docs: int) -> np.ndarray:
+    """Document ids that cut the table into ranges of about ``file_docs`` rows, by a sample of SAMPLED ids a range."""
+    rows = docs.count()
+    files = -(-rows // file_docs)
+    if files < 2:
+        return np.empty(0, np.int64)
+    every = max(1, rows // (files * SAMPLED))
+    found = docs.select("doc_id").where(f"doc_id is not null and pmod(xxhash64(doc_id), {every}) = 0").toArrow().column("doc_id").to_numpy()
+    return np.unique(np.sort(found)[[k * len(found) // files for k in range(1, files)]]) if len(found) else found
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int, cuts: np.ndarray) -> DataFrame:
+    """shard (number of the id's range), doc_id and the little-endian ids of each whole text, the end id last."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, pattern)
@@ -187,14 +200,16 @@ def encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, wid
         for batch in slices(batches):
             found = encode(texts_of(batch))
             flat = found.flat.astype(f"<u{width}").tobytes()
-            cuts = ((found.start * width).tolist(), ((found.start + found.size) * width).tolist())
-            ids = pa.array([flat[a:b] + end for a, b in zip(*cuts, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            places = ((found.start * width).tolist(), ((found.start + found.size) * width).tolist())
+            ids = pa.array([flat[a:b] + end for a, b in zip(*places, strict=True)], pa.binary())
+            keys = batch.column("doc_id")
+            shard = np.searchsorted(cuts, keys.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), keys, ids], ["shard", "doc_id", "ids"])
 
-    return docs.mapInArrow(work, "doc_id bigint, ids binary")
+    return docs.mapInArrow(work, "shard int, doc_id bigint, ids binary")
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, n_ids: int = 50_257) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, n_ids: int = 50_257, file_docs: int = FILE_DOCS) -> DataFrame:
     """Writes the files and returns their manifest: shard, file, docs, tokens, start (tokens in earlier shards).
 
     Shards follow one another in ascending document id, rows without an id first; rows that share an id stand in
@@ -203,24 +218,30 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_i
     """
     width = 2 if n_ids <= 1 << 16 else 4
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    once = staged(encoded(plain, tokenizer_path, pattern, end_id, width), "encoded")
+    cuts = bounds(plain, file_docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out, name = TaskContext.get().partitionId(), None, ""
+        shard, out, name = None, None, ""
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            row = {"shard": [shard], "file": [name], "docs": [len(out.counts)], "tokens": [sum(out.counts)]}
+            return pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                if out is None:
-                    name = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tokens.zst"
+            for of, doc_id, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                if of != shard:
+                    if out is not None:
+                        yield closed()
+                    shard, name = of, f"{folder}/{of:06d}-{uuid.uuid4().hex}.tokens.zst"
                     out = TokenFileWriter(name, width)
                 out.append(doc_id, ids.as_py())
         if out is not None:
-            out.close()
-            row = {"shard": [shard], "file": [name], "docs": [len(out.counts)], "tokens": [sum(out.counts)]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            yield closed()
 
-    ordered = once.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = encoded(plain, tokenizer_path, pattern, end_id, width, cuts).repartitionById(len(cuts) + 1, "shard")
+    ordered = dealt.sortWithinPartitions("shard", "doc_id", "ids")
     manifest = staged(ordered.mapInArrow(work, "shard bigint, file string, docs bigint, tokens bigint"), "manifest")
-    drop_staged(once)
     # One row per file, so this window is small however many documents there are.
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
@@ -243,7 +264,8 @@ def read(manifest: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.select("file", "start").repartition("file")
+    # One task for each file; a number asked for is kept, where a small table would be read by one task.
+    spread = manifest.select("shard", "file", "start").repartitionById(max(1, manifest.count()), F.col("shard").cast("int")).drop("shard")
     return spread.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

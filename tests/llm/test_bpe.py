@@ -35,6 +35,27 @@ def test_random_texts_match_the_library(library):
     assert [found[i].tolist() for i in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_long_matches_equal_the_library(library):
+    """Matches of hundreds to many thousands of bytes, of random letters, repeats and overlapping pairs."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (255, 256, 257, 700, 5000, 40_000) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "eéтhи中", "!?-=")]
+    found = bpe.load(PATH, public_tokenizers.PATTERN).encode(texts)
+    assert [found[i].tolist() for i in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_other_patterns_and_high_ids():
+    """Another pattern cuts whole texts by itself; ids may lie above 2**17; a vocabulary out of order merges one by one."""
+    rng = random.Random(4)
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 200_000, b"abc": 300_000, b"cd": 150_000, b"12": 400_000, b"  ": 500_000}
+    for extra in ({}, {b"abcd": 260, b"abab": 270}):
+        pattern = r"\p{N}{1,3}|\s+|[^\s\p{N}]+"
+        own = bpe.ByteBpe(ranks | extra, pattern)
+        plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks | extra, special_tokens={})
+        texts = ["".join(rng.choice("abcd12 \n") for _ in range(rng.randrange(80))) for _ in range(300)] + ["abcd" * 300 + "ab" * 300, "12 " * 300]
+        found = own.encode(texts)
+        assert [found[i].tolist() for i in range(len(texts))] == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_edge_rows(spark, library):
     """Nulls, empty and very long texts, repeated rows, clashing extra columns."""
     rows = [(1, None, 5), (2, "", 5), (2, "", 5), (None, "hello world", None), (3, "word " * 60000, 1), (4, "z" * 30000, 1)]
