@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
 Patterns give the base spans. Every other long run of encoding characters is a candidate. Its encoding is the
-smallest alphabet that spells it, and three tests look at its symbols in that alphabet: chi-squared uniformity,
-the runs test about the median, and serial correlation of neighbours. The last two, combined by Fisher's method,
-must not speak against randomness. The first gives the chance that spelled language looks as even as this:
-under language the statistic is non-central chi-squared, and its centre moves away with length, so a short word
-cannot count as a discovery. Benjamini-Hochberg thresholds, one for each class of length, then bound the share of
-false discoveries over the whole corpus.
+smallest alphabet that spells it, and the battery looks at its symbols there: chi-squared uniformity over the alphabet,
+the runs test about the median, and serial correlation of neighbours, combined by Fisher's method into the chance that
+random symbols look as regular. Against it stands language: the likelihood ratio of uniform symbols over the likeliest
+of some plain spellings (small letters, capitals, numbers), which grows with length, so that a short word cannot count
+as a discovery. The two make one statistic: the ratio times the battery's chance. Its inverse bounds
+the chance that such spellings reach it (Markov's inequality, as the ratio's mean under each is at most 1).
+Benjamini-Hochberg thresholds over all candidates, one for each class of length, then bound the share of false
+discoveries over the whole corpus.
 
 One pass over the texts leaves spans and candidate statistics, written once. The thresholds come from counts of
 a fixed number of (length class, log-chance bin) cells, so any number of candidates is summed before it is sent.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import slices, staged, texts_of
+from ridgeloom.llm.shared import drop_staged, slices, staged, texts_of
 
 #: Base kinds in their listed order: pattern, group that is measured, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -36,12 +38,14 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 ENCODINGS = (
     ("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"),
     ("base36", _DIGITS + _LOWER), ("BASE36", _DIGITS + _UPPER), ("base62", _DIGITS + _UPPER + _LOWER),
-    ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"), ("mixed", _UPPER + _LOWER + _DIGITS + "+/-_"),
 )
 #: English letter frequencies in per cent, a to z.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 
-FDR, LEAST_RANDOM = 0.01, 0.01
+FDR = 0.01
+#: Plain spellings: weights of small letters, capitals, digits and other symbols.
+SPELLINGS = ((0.9, 0.06, 0.02, 0.02), (0.06, 0.9, 0.02, 0.02), (0.12, 0.08, 0.7, 0.1))
 #: Length classes begin here; bins of the decimal logarithm of the chance.
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128, 512)
 _BINS_PER_DECADE, _DECADES = 10, 30
@@ -51,19 +55,24 @@ _HEX_CLASS = np.zeros(256, bool)
 _HEX_CLASS[list(b"0123456789abcdef")] = True
 
 
-def _language(alphabet: str) -> np.ndarray:
-    """How language spreads over an alphabet: letters by frequency, lower case nine in ten where both exist."""
-    both = "a" in alphabet and "A" in alphabet
-    share = [LETTERS[ord(c.lower()) - 97] * ((0.9 if c.islower() else 0.1) if both else 1) if c.isalpha() else 0.3 for c in alphabet]
-    return np.array(share) / sum(share)
+def _spelling(alphabet: str, weights: tuple[float, ...]) -> np.ndarray:
+    """How a spelling spreads over an alphabet: each class by its weight, letters within it by frequency."""
+    of = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in alphabet]
+    share = np.array([LETTERS[ord(c.lower()) - 97] if c.isalpha() else 1.0 for c in alphabet])
+    for k, weight in enumerate(weights):
+        own = np.array(of) == k
+        share[own] *= weight / max(1e-12, share[own].sum())
+    return share / share.sum()
 
 
-_PLACES = []
+_PLACES, _RATIOS = [], []
 for _, _alphabet in ENCODINGS:
     _at = np.full(128, -1, np.int16)
     _at[[ord(c) for c in _alphabet]] = np.arange(len(_alphabet))
     _PLACES.append(_at)
-_EXCESS = [len(a) * float(((_language(a) - 1 / len(a)) ** 2).sum()) for _, a in ENCODINGS]
+    # Log of uniform over each spelling, by symbol; a spelling takes part where the alphabet has its main class.
+    _able = [w for w, sample in zip(SPELLINGS, (_LOWER, _UPPER, _DIGITS), strict=True) if set(sample) & set(_alphabet)]
+    _RATIOS.append(np.stack([-np.log(len(_alphabet) * _spelling(_alphabet, w)) for w in _able]))
 
 
 def _upper(z: float) -> float:
@@ -71,21 +80,19 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str) -> tuple[float, float]:
-    """(chance that spelled language looks as even, chance that random symbols have such runs and correlation)."""
+def _chi_squared_upper(statistic: float, freedom: int) -> float:
+    """Chance of a chi-squared value above the statistic, by the cube-root normal approximation."""
+    spread = 2 / (9 * freedom)
+    return _upper(((statistic / freedom) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+
+
+def battery(token: str) -> float:
+    """The chance that plain spelling has a statistic as high as the token's."""
     raw = np.frombuffer(token.rstrip("=").encode(), np.uint8)
-    for (_, alphabet), at, excess in zip(ENCODINGS, _PLACES, _EXCESS, strict=True):
-        x = at[raw]
-        if x.min() >= 0:
-            break
-    else:
-        return 1.0, 1.0  # a mix of two alphabets: not one encoding
-    n, k = len(x), len(alphabet)
+    x, encoding = next((x, k) for k, at in enumerate(_PLACES) if (x := at[raw]).min() >= 0)
+    n, k = len(x), len(ENCODINGS[encoding][1])
     counts = np.bincount(x, minlength=k)
-    statistic = float(((counts - n / k) ** 2).sum() * k / n)
-    pull = n * excess
-    mean, spread = k - 1 + pull, math.sqrt(2 * (k - 1 + 2 * pull))
-    even = 1 - _upper((statistic - mean) / spread)
+    p_even = _chi_squared_upper(float(((counts - n / k) ** 2).sum() * k / n), k - 1)
     # Runs about the median of the alphabet.
     high = x >= k / 2
     a = int(high.sum())
@@ -100,8 +107,11 @@ def battery(token: str) -> tuple[float, float]:
     y = x - x.mean()
     square = float((y * y).sum())
     p_serial = 2 * _upper(abs(float((y[1:] * y[:-1]).sum()) / square + 1 / n) * math.sqrt(n)) if square else 0.0
-    both = max(p_runs * p_serial, 1e-300)  # Fisher's method for two
-    return even, both * (1 - math.log(both))
+    product = max(p_even * p_runs * p_serial, 1e-300)
+    log = -math.log(product)
+    regular = min(1.0, product * (1 + log + log * log / 2))  # Fisher's method for three
+    ratio = float((_RATIOS[encoding] @ counts).min())
+    return math.exp(-max(0.0, min(700.0, ratio + math.log(regular))))
 
 
 def _hex_runs(raw: np.ndarray) -> list[tuple[int, int]]:
@@ -123,14 +133,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, float, float]]:
-    """(start, end, chance under language, chance under randomness) of runs that touch no span of ``taken``."""
-    out = []
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, chance under plain spelling) of runs that touch no span of ``taken``, which is sorted."""
+    out, k, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
-            even, mixed = battery(m.group())
-            if mixed >= LEAST_RANDOM:
-                out.append((m.start(), m.end(), even, mixed))
+        while k < len(taken) and taken[k][0] < m.end():
+            reach, k = max(reach, taken[k][2]), k + 1
+        if reach <= m.start():
+            out.append((m.start(), m.end(), battery(m.group())))
     return out
 
 
@@ -147,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in texts_of(batch):
                 spans = base_spans(text)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                more.append([{"start": a, "end": b, "even": p} for a, b, p, _ in candidates(text, spans)])
+                more.append([{"start": a, "end": b, "even": p} for a, b, p in candidates(text, spans)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, _SPANS), pa.array(more, _CANDIDATES)], ["doc_id", "base", "candidates"])
 
     return docs.select("doc_id", "text").mapInArrow(
@@ -223,7 +233,9 @@ def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataF
     """
     fields = docs.schema.fields
     names = [f.name for f in fields]
-    last = thresholds(staged(scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "secrets"), fdr)
+    scanned = staged(scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("candidates"), "secrets")
+    last = thresholds(scanned, fdr)
+    drop_staged(scanned)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -244,7 +256,7 @@ def redact(text: str, last: dict[int, int], mark: str = "[secret]") -> str:
     """The text with base spans, and candidates within the thresholds, replaced by a mark."""
     spans = base_spans(text)
     cut = [(a, b) for a, _, b in spans]
-    for a, b, even, _ in candidates(text, spans):
+    for a, b, even in candidates(text, spans):
         k = sum(b - a >= x for x in LENGTH_CLASSES[1:])
         if math.ceil((math.log10(max(even, 10.0**-_DECADES)) + _DECADES) * _BINS_PER_DECADE) <= last[k]:
             cut.append((a, b))
