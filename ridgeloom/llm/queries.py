@@ -51,7 +51,8 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shards.round_trip(table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    arrivals = shards.dealt(table(spark, sf_dir, "documents"), 5)
+    rows = shards.round_trip(arrivals, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
     return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

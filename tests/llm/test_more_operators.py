@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from ridgeloom.llm import leaks, quality, shards, tokenfiles
@@ -46,6 +47,28 @@ def test_bradley_terry_orders_pairs():
     assert ((better @ w)[:, None] > (worse @ w)[None]).mean() > 0.97
 
 
+def test_all_pairs_fit_equals_plain_descent():
+    """The sums by row give the weights that gradient descent over every single pair finds."""
+    rng = np.random.default_rng(3)
+    better, worse = rng.normal(0.4, 1, (37, 3)), rng.normal(-0.4, 1, (23, 3))
+    gaps, w = (better[:, None] - worse[None]).reshape(-1, 3), np.zeros(3)
+    for _ in range(4000):
+        w -= 0.5 * (-gaps.T @ (1 / (1 + np.exp(gaps @ w))) / len(gaps) + quality._RIDGE * w)
+    assert np.abs(quality.bradley_terry(better, worse) - w).max() < 1e-4
+
+
+def test_more_labels_than_the_bound(spark):
+    rng = random.Random(2)
+    texts = [("!!! $$$ " if k % 2 else "plain words here. ") * rng.randrange(1, 9) for k in range(60)]
+    docs = spark.createDataFrame([(k // 2 * 2 + k % 2, t) for k, t in enumerate(texts)] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id bigint, quality int")
+    few, all_ = quality.fit(docs, labels, 12), quality.fit(docs, labels)
+    for ranking in (few, all_):
+        assert all((s >= 0.3) == (k % 2 == 0) for k, s in enumerate(ranking.score(texts)))
+    assert [tuple(r) for r in quality.judge(docs, labels, 12).where("doc_id = 4").collect()] == [tuple(r) for r in quality.judge(docs, labels, 12).where("doc_id = 4").collect()]
+    assert quality.kept(docs.selectExpr("*", "-5.0 as score"), all_).where("score <> -5").count() == 0
+
+
 def test_token_files_round_trip(spark):
     docs = odd_documents(spark, "start", "n_tokens")
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfiles.round_trip(docs, JSON, public_tokenizers.PATTERN, 2).collect())
@@ -109,8 +132,47 @@ def test_shards(spark, tmp_path):
     assert store.read().agg(F.count("*"), F.sum("id")).first() == (500, sum(range(500)))
     store.vacuum()
     assert store.versions() == [6] and store.read().count() == 500
-    assert shards.round_trip(spark.range(0), f"file://{tmp_path}/empty").count() == 0
-    assert shards.round_trip(odd_documents(spark), f"file://{tmp_path}/odd").count() == len(ODD)
+
+
+def test_shards_of_odd_rows(spark, tmp_path):
+    assert shards.round_trip([spark.range(0)], f"file://{tmp_path}/empty").count() == 0
+    odd = odd_documents(spark, "_metadata", "run", "tier")
+    back = shards.round_trip(shards.dealt(odd, 5), f"file://{tmp_path}/odd")
+    assert back.columns == odd.columns and back.count() == len(ODD) and back.exceptAll(odd).count() == 0
+
+
+def test_shards_are_merged_to_their_target(spark, tmp_path):
+    """Many small shards become files near the target, whatever the session's scan packs together."""
+    rows = spark.range(200_000).selectExpr("id", "md5(cast(id as string)) as text")
+    store = shards.ShardStore(spark, f"file://{tmp_path}/target", target_bytes=2 << 20)
+    for part in shards.dealt(rows, 6):
+        store.append(part, shard_rows=1000)
+    files = store.manifest().agg(F.sum("files")).first()[0]
+    while store.compact() != store.compact():
+        pass
+    after = store.manifest().agg(F.sum("files"), F.sum("bytes"), F.sum("rows")).first()
+    assert after[2] == 200_000 == store.read().count() and files > 150 and after[0] <= 2 * (after[1] // (2 << 20) + 1)
+
+
+def test_two_writers(spark, tmp_path):
+    """A commit that finds its version taken starts over on top of it; a merge of runs that are gone fails whole."""
+    root = f"file://{tmp_path}/two"
+    one, two = shards.ShardStore(spark, root), shards.ShardStore(spark, root)
+    for k in range(4):
+        one.append(spark.range(k * 10, k * 10 + 10).coalesce(1))
+    added = one._written(spark.range(40, 50).coalesce(1))
+
+    def change(now):
+        if two is not None and two.versions()[-1] == 4:
+            two.append(spark.range(50, 60).coalesce(1))  # takes version 5 between reading and renaming
+        return now.unionByName(added)
+
+    assert one._commit(change) == 6 and sorted(r.id for r in one.read().collect()) == list(range(60))
+    old = [r.run for r in one.manifest(4).collect()]
+    two.compact()
+    with pytest.raises(RuntimeError):
+        one._commit(lambda latest: one._replaced(latest, old, added))
+    assert one.read().count() == 60
 
 
 def test_leaks_and_paraphrases(spark):
