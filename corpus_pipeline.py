@@ -16,7 +16,7 @@ from ridgeloom.llm.shared import drop_staged, staged, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking, fitted to the labels of ``docs``, does not reject."""
     ranking = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, ranking).where("predicted = 1").select(*docs.columns)
+    return quality.kept(docs, ranking)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
