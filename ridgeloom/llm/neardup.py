@@ -6,25 +6,30 @@
    two sketches is that of their differing values, which estimates a high similarity closely.
 2. Documents with one fingerprint are one class; only its smallest id goes on (a partial minimum, so a class
    may hold any share of the rows).
-3. A bucket's hub is its smallest member. Every document is compared with the smallest of its hubs: one candidate
-   a document. The sketch and the sizes sift them, the full sets (recomputed for candidates alone) confirm them,
-   and the confirmed links give components.
+3. The sets of all bucket members are written once, in buckets by id, so that confirmations shuffle pairs alone and
+   one set of each. A bucket's hub is its smallest member. Every document is compared with the smallest of its hubs:
+   one candidate a document. The sketch and the sizes sift them, the full sets confirm them, and the confirmed links
+   give components.
 4. In buckets that still hold several components, one member of each is compared with the hub in the same way.
 5. Two members of a bucket in different components may still be similar to each other, though not to the hub.
-   They alone are compared last. Besides the odd sketch of its MinHash values each carries the parity bitmap of
-   its set, in which every shingle flips one bit: the population count of the XOR of two never exceeds the number
-   of shingles that only one of the sets has, so sets under PARITY_SET shingles are ruled out without error, and
-   larger ones by a hashed part of their shingles. Both bitmaps and the sizes stand within the join condition,
-   so that few pairs but the linked ones leave the join; those are confirmed. Pairs within a component need no
-   look: they cannot change it.
+   They alone are compared last, where their sizes are near enough: sizes fall into classes so that similar sets lie
+   in the same or the next one. A group of a bucket and a class is dealt into blocks of about BLOCK members, and each
+   pair of blocks is a key of its own, so that a group of any size is spread over many tasks. Besides the odd sketch of
+   its MinHash values each member carries the parity bitmap of its set, in which every shingle flips one bit: the
+   population count of the XOR of two never exceeds the number of shingles that only one of the sets has, so sets under
+   PARITY_SET shingles are ruled out without error, and larger ones by a hashed part of their shingles. Both bitmaps
+   and the sizes stand within the join condition, so that few pairs but the linked ones leave the join; those are
+   confirmed. Pairs within a component need no look: they cannot change it.
 
 So every pair that shares a bucket is confirmed, ruled out, or already connected. A pair at 0.8 shares no bucket
-with probability (1 - 0.8**5)**40, below 2e-7, and is sifted out by its sketch with about as much.
+with probability (1 - 0.8**5)**40, below 2e-7, and is sifted out by its sketch with about as much. ``sift=False`` asks
+no sketch and no hashed part of a bitmap: what then rules pairs out of a bucket is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.components import components
-from ridgeloom.llm.shared import slices, staged, texts_of, windows, word_codes
+from ridgeloom.llm.shared import drop_staged, slices, staged, staged_by, texts_of, word_codes
+from ridgeloom.operators.graph import labels
 
 BANDS, BAND_ROWS, SKETCH_BITS = 40, 5, 512
 _HASHES, _WORDS = BANDS * BAND_ROWS, SKETCH_BITS // 64
@@ -44,6 +49,8 @@ PARITY_BITS, PARITY_SET = 2048, 1024
 _PARITY_WORDS = PARITY_BITS // 64
 #: Standard deviations that a hashed part may hold more differing shingles than expected at the asked similarity.
 PARITY_SIGMAS = 6
+#: Members of a block of the last comparison.
+BLOCK = 256
 
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = _seeds.integers(0, 1 << 32, _HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -198,20 +205,21 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id bigint, shingles array<bigint>")
 
 
-def parity_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, own (its set's own level), level and parity (the words of the bitmap) of each parity bitmap of its set."""
+def parity_table(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, size, own (its set's own level), level and parity (the words of the bitmap) of each parity bitmap of a set."""
     names = ["doc_id", "size", "own", "level", "parity"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hashes, sizes = shingle_sets(texts_of(batch), n)
+        for batch in batches:
+            lists = batch.column("shingles")
+            hashes, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
             texts, levels, words = parity_bitmaps(hashes, sizes, percent)
             own = np.full(len(sizes), levels.max(initial=0), np.int32)
             np.minimum.at(own, texts, levels)
-            columns = [batch.column("doc_id").take(pa.array(texts)), pa.array(sizes[texts]), pa.array(own[texts]), pa.array(levels), _lists(words, np.ones(len(words), bool))]
+            columns = [batch.column("doc_id").take(pa.array(texts)), pa.array(sizes[texts].astype(np.int64)), pa.array(own[texts]), pa.array(levels), _lists(words, np.ones(len(words), bool))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(work, "doc_id bigint, size bigint, own int, level int, parity array<bigint>")
+    return sets.mapInArrow(work, "doc_id bigint, size bigint, own int, level int, parity array<bigint>")
 
 
 def differing_bits(a: str, b: str) -> Column:
@@ -232,27 +240,43 @@ def differing_parity(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
 
 
-def parity_allows(level: Column, sizes: Column, differing: Column, percent: int) -> Column:
+def parity_allows(level: Column, sizes: Column, differing: Column, percent: int, sift: bool = True) -> Column:
     """Whether bitmaps of a level that differ in so many bits leave sets of so many shingles in all similar enough."""
     most = sizes * (100 - percent) / (100 + percent)
     expected = most / F.pow(F.lit(2.0), level)
-    return F.when(level == 0, differing <= most).otherwise(differing <= expected + PARITY_SIGMAS * F.sqrt(expected))
+    return F.when(level == 0, differing <= most).otherwise(differing <= expected + PARITY_SIGMAS * F.sqrt(expected) if sift else F.lit(True))
+
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Both sides grow with the documents, so neither may be broadcast by a guess of its size.
-    sets = staged(set_table(docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), n), "sets")
+    The pairs may be as many as the documents, so no side is broadcast by a guess of its size; the sets lie in buckets.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     return both.where(100 * shared.cast("long") >= percent * union.cast("long")).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """The rows as ``held`` has them (bucket, level, size, rep, c and more), once for each pair of blocks they take part in.
+
+    Adds class, i, j and block. Two rows of one bucket and level whose sizes allow the similarity meet in exactly one
+    (class, i, j), in which they stand in the blocks i and j; rows that could meet none of another component are left out.
+    """
+    own = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
+    ranged = held.withColumn("own_class", own).withColumn("class", F.explode(F.array(F.col("own_class"), F.col("own_class") - 1)))
+    group = ["bucket", "level", "class"]
+    stats = ranged.groupBy(*group).agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    blocks = stats.select(*group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = ranged.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pair = lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"))
+    return placed.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))).select("*", "pair.i", "pair.j").drop("pair", "blocks")
+
+
+def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sift: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is
@@ -274,15 +298,16 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     sketches = reps.select("rep", "size", *words)
     most = most_differing_bits(percent / 100 - SLACK)
     # No pair whose sizes differ more can be similar enough; the sketch sifts the rest.
-    near = (100 * F.least("asize", "bsize") >= percent * F.greatest("asize", "bsize")) & (differing_bits("a", "b") <= most)
+    near = 100 * F.least("asize", "bsize") >= percent * F.greatest("asize", "bsize")
+    if sift:
+        near = near & (differing_bits("a", "b") <= most)
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*[c for c in rows.columns if c not in ("rep", "size", *words)], F.col("rep").alias(name), F.col("size").alias(f"{name}size"), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_WORDS)])
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are sifted and confirmed, written once."""
-        sifted = staged(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"), "sifted")
-        return staged(_confirmed(sifted, docs, shingle_words, percent), "links")
+        return staged(_confirmed(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"), bucketed, percent), "links")
 
     def open_members(members: DataFrame, placed: DataFrame) -> DataFrame:
         """bucket, hub, rep and its component c of the buckets that hold several components."""
@@ -293,29 +318,36 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
     members = staged(rows.join(shared.select("bucket", "hub"), "bucket"), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    bucketed, table = staged_by(set_table(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), shingle_words), "doc_id", "sets")
     first = links(members.groupBy("rep").agg(F.min("hub").alias("hub")).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
 
-    rest = staged(open_members(members, staged(components(first), "components")), "open")
+    rest = staged(open_members(members, labels(first)), "open")
     one = rest.groupBy("bucket", "hub", "c").agg(F.min("rep").alias("rep")).where("rep <> hub")
     second = first.union(links(one.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
 
-    rest = staged(open_members(rest.select("bucket", "hub", "rep"), staged(components(second), "components")), "open")
-    texts = docs.join(rest.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    parity = staged(parity_table(texts, shingle_words, percent), "parity").withColumnRenamed("doc_id", "rep")
-    held = rest.select("bucket", "rep", "c").join(sketches, "rep").join(parity, ["rep", "size"])
-    left = side(held, "a").withColumnRenamed("parity", "aparity")
-    right = side(held, "b").withColumnsRenamed({"parity": "bparity", **{k: f"{k}_" for k in ("bucket", "level", "own", "c")}})
-    # Two sets meet at the higher of their levels; a repeated id has bitmaps of each of its texts.
-    same = [F.col("bucket") == F.col("bucket_"), F.col("level") == F.col("level_"), F.col("level") == F.greatest("own", "own_")]
-    across = same[0] & same[1] & same[2] & (F.col("a") < F.col("b")) & (F.col("c") != F.col("c_")) & near
-    allowed = parity_allows(F.col("level"), F.col("asize") + F.col("bsize"), differing_parity("aparity", "bparity"), percent)
-    pairs = staged(left.join(right, across & allowed).select("a", "b").distinct(), "across")
-    final = components(second.union(_confirmed(pairs, docs, shingle_words, percent)))
+    last = staged(open_members(rest.select("bucket", "hub", "rep"), labels(second)), "open")
+    of_last = bucketed.join(last.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    parity = staged(parity_table(of_last.select("doc_id", "shingles"), percent), "parity").withColumnRenamed("doc_id", "rep")
+    held = _block_pairs(last.select("bucket", "rep", "c").join(sketches, "rep").join(parity, ["rep", "size"]), percent)
+    left = side(held.where("block = i"), "a").withColumnRenamed("parity", "aparity")
+    right = side(held.where("block = j"), "b").withColumnsRenamed({"parity": "bparity", **{k: f"{k}_" for k in ("bucket", "level", "class", "i", "j", "own", "own_class", "block", "c")}})
+    across = near & (F.col("c") != F.col("c_")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    for k in ("bucket", "level", "class", "i", "j"):
+        across = across & (F.col(k) == F.col(f"{k}_"))
+    # Two sets meet at the higher of their levels and the lower of their classes; a repeated id has bitmaps of each of its texts.
+    across = across & (F.col("level") == F.greatest("own", "own_")) & (F.col("class") == F.least("own_class", "own_class_"))
+    allowed = parity_allows(F.col("level"), F.col("asize") + F.col("bsize"), differing_parity("aparity", "bparity"), percent, sift)
+    pairs = staged(left.join(right, across & allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    final = labels(second.union(_confirmed(pairs, bucketed, percent)))
 
     back = sets.join(final, sets.rep == final.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component"))
     same = found.select("doc_id", "n_shingles", "fp").join(back, F.col("fp") == F.col("of"), "left")
     component = F.coalesce("component", "doc_id")
-    return same.select(
+    out = staged(same.select(
         F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.isnull(component)).alias("kept"),
-    )
+    ), "classes")
+    drop_staged(found, reps, members, first, rest, last, parity, pairs, bucketed)
+    docs.sparkSession.sql(f"drop table {table}")
+    return out

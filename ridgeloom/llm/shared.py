@@ -56,6 +56,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, key: str, label: str) -> tuple[DataFrame, str]:
+    """The same, dealt into as many buckets by ``key`` as the session has shuffle partitions, and the table's name. Joins
+    by the key read each bucket where the other side's partition goes, and shuffle only that side."""
+    spark = df.sparkSession
+    name = f"ridgeloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}").saveAsTable(name)
+    return spark.table(name), name
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Removes written tables that nothing will read again."""
     for df in tables:

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from ridgeloom.llm import neardup
-from ridgeloom.llm.components import components
+from ridgeloom.operators.graph import labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,16 +52,19 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_classes_match_brute_force(spark, n):
+@pytest.mark.parametrize("n, sift, block", [(2, True, 256), (5, False, 2)])
+def test_classes_match_brute_force(spark, n, sift, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "7 as kept", "'x' as rep")
-    got = {r.doc_id: tuple(r)[1:] for r in neardup.classes(docs, n).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in neardup.classes(docs, n, sift=sift).collect()}
     assert got == brute_force(rows, n)
 
 
-def test_links_that_miss_the_smallest_member(spark):
-    """A bucket's members similar to each other, but not to its smallest, still get linked."""
+@pytest.mark.parametrize("block", [3])
+def test_links_that_miss_the_smallest_member(spark, block, monkeypatch):
+    """A bucket's members similar to each other, but not to its smallest, still get linked, in whatever blocks they lie."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     base = [f"a{i}" for i in range(100)]
     texts = [" ".join(base)]
     for k in range(1, 30):
@@ -86,7 +89,7 @@ def test_empty_table(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id * 7 % 301 a", "(id + 1) * 7 % 301 b")
-    assert {r.component for r in components(edges).collect()} == {0}
+    assert {r.component for r in labels(edges).collect()} == {0}
 
 
 def test_sketch_estimates_are_close():
