@@ -1,46 +1,54 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as
-the next stage's documents. All stages but the last return the columns of documents.
+the next stage's documents. All stages but the last return the columns of documents, whatever their names; columns
+that a stage adds for itself have names of their own. Null, empty and very long texts, rows without an id and rows that
+repeat one go through every stage; an empty table gives empty ones.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridgeloom.llm import bpe, leaks, neardup, quality, secrets
 from ridgeloom.llm.shared import drop_staged, staged, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking, fitted to the labels of ``docs``, does not reject."""
-    ranking = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.kept(docs, ranking)
+    """Documents that the quality ranking, fitted to the labels of ``docs``, does not reject.
+
+    Each row is judged by its own text: equal texts stay or go together, and a null text is judged as an empty one.
+    """
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8), and all that are in none."""
-    found = neardup.classes(docs, shingle_words=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    # Rows that repeat an id are one document of which one row stays.
-    keyed = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return keyed.unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8), and all that are in none.
+
+    Rows are told apart by a key of their own, written once, not by their ids: of equal rows one stays, rows without an
+    id are grouped like others, and different texts under one id all stay. Texts without a word are in no group.
+    The row of a group that stays is its first as the rows are stored.
+    """
+    row = next(name for k in range(len(docs.columns) + 1) if (name := f"row_key_{k}") not in docs.columns)
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = neardup.classes(keyed, shingle_words=5, percent=80, id_col=row)
+    return keyed.join(found.where("kept").select(row), row, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Each row is searched by its own text; a null or empty one contains nothing."""
     return leaks.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and ids of each document."""
+    """doc_id, n_tokens, digests and ids of each row; a null or empty text has no ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_ids=True)
 

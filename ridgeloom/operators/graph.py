@@ -15,19 +15,27 @@ BLOCK_EDGES = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the cluster's checkpoint folder; one of our own only where none is set."""
+    """The rows, written to the cluster's checkpoint folder; one of our own only where none is set and the session is local."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ridgeloom-"))
     return df.checkpoint()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) by star contraction: rounds grow with the logarithm of the longest path."""
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of undirected edges (a, b), by star contraction; the component is its smallest node.
+
+    Each larger neighbour of a node points to the node's smallest, then each smaller one does. Rounds grow with the
+    logarithm of the longest path; each is a few joins and partial minima on the edges alone. Nothing but an edge count
+    and a checksum reaches the driver.
+    """
     now, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if mark == before:
+        if not mark[0] or mark == before:
             break
         before = mark
         both = now.union(now.select("v", "u"))
@@ -38,7 +46,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct())
     tops = now.select(F.col("v").alias("node")).distinct()
-    placed = now.selectExpr("u node", "v component").union(tops.selectExpr("node", "node component"))
+    return now.selectExpr("u node", "v component").union(tops.selectExpr("node", "node component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of every node of undirected edges (a, b)."""
+    placed = labels(edges)
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     return placed.join(sizes, "component").select("node", "component", "size")
 
