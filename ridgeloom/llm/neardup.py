@@ -50,7 +50,7 @@ _PARITY_WORDS = PARITY_BITS // 64
 #: Standard deviations that a hashed part may hold more differing shingles than expected at the asked similarity.
 PARITY_SIGMAS = 6
 #: Members of a block of the last comparison.
-BLOCK = 256
+BLOCK = 4096
 
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = _seeds.integers(0, 1 << 32, _HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -251,10 +251,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
 
     The pairs may be as many as the documents, so no side is broadcast by a guess of its size; the sets lie in buckets.
+    A hub may have any share of the pairs: its join goes by a computed key, so that it is shuffled, not read by bucket,
+    and a skewed partition of it can be split.
     """
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    hubs = pairs.select(F.col("a").alias("doc_id")).distinct().hint("merge")
+    left = sets.join(hubs, "doc_id", "left_semi").select(F.col("doc_id").bitwiseXOR(F.lit(0)).alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    both = pairs.hint("merge").join(right, "b").hint("merge").join(left, "a")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     return both.where(100 * shared.cast("long") >= percent * union.cast("long")).select("a", "b").distinct()
