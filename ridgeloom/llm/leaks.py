@@ -10,8 +10,10 @@
    the item's answer (its last sentence, weighted by IDF) stands there. Much of the subsequence suffices; half of
    it needs the answer too, which is what a paraphrase keeps.
 
-Documents are only scanned: one pass for the frequencies, one for the search, no shuffle of text. Benchmarks of
-any size are taken in blocks of about BLOCK_ITEMS items, which bounds what the tasks hold.
+Documents are only scanned: one pass for the frequencies of all items' words, one for the search of all blocks, no
+shuffle of text. Items are dealt into blocks of about BLOCK_WORDS words, each with an SVD of its own, and a task holds
+the blocks of one search at most: PASS_BLOCKS of them, some 4,000 items. A larger benchmark takes a further search
+for each PASS_BLOCKS blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeloom.llm.shared import slices, texts_of
@@ -37,12 +39,10 @@ RANK, OVERSAMPLE, POWERS = 320, 16, 2
 #: The share is far under the half that a paraphrase keeps: its kept words may be the light ones, and the best window
 #: may lie STRIDE / 2 words off. Shares of 0.5 and cosines of 0.6 lost paraphrases that step 3 confirms.
 COSINE, MASS = 0.5, 0.12
-#: Passages of an item with less than this share of its longest passage vector are not searched for.
-STRONG = 0.6
 _GROUP, _CHUNK = 32, 1024
 #: Shares of an item's words: enough by itself, enough with the answer; share of the answer's weight.
 LCS_COPY, LCS_PARAPHRASE, ANSWER = 0.75, 0.5, 0.7
-BLOCK_ITEMS = 256
+BLOCK_WORDS, PASS_BLOCKS = 1 << 14, 16
 _TERMS, _PARTITIONS = 512, 8
 
 _EDGES = ".,;:!?\"'()[]{}|*#$%&-"
@@ -98,14 +98,11 @@ class Block:
     counts: list[Counter] | None = None  # words of each item
 
     def aim(self, cuts: list[tuple[int, list[int]]]) -> None:
-        """Passage vectors in ascending length; an item's passages much shorter than its longest aim at nothing."""
+        """Vectors of all passages, in ascending length."""
         vectors = np.stack([self.table[c].sum(0) for _, c in cuts])
         norms = np.maximum(1e-6, np.linalg.norm(vectors, axis=1)).astype(np.float32)
         owner = np.array([k for k, _ in cuts])
-        longest = np.zeros(len(self.items), np.float32)
-        np.maximum.at(longest, owner, norms)
         order = np.argsort(norms, kind="stable")
-        order = order[norms[order] >= STRONG * longest[owner[order]]]
         self.norms, self.owner = norms[order], owner[order]
         self.targets = np.ascontiguousarray((vectors[order] / norms[order, None]).T, np.float32)
         self.counts = [Counter(w) for w in self.words]
@@ -202,12 +199,10 @@ def latent_terms(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     return basis @ vectors[:, keep]
 
 
-def prepared(docs: DataFrame, block: Block) -> Block:
-    """The block with document frequencies, SVD and passage vectors."""
-    total, seen = document_frequencies(docs, block.terms)
+def prepared(spark: SparkSession, block: Block, total: int, seen: np.ndarray) -> Block:
+    """The block with the frequencies of its terms among ``total`` documents, SVD and passage vectors."""
     block.idf = np.log((1 + total) / (1 + seen)) + 0.1
     cuts = [(k, w[a:b]) for k, w in enumerate(block.words) for a, b in _passages(len(w))]
-    spark = docs.sparkSession
     schema = pa.schema([("terms", pa.list_(pa.int64()))])
     passages = spark.createDataFrame(pa.Table.from_pydict({"terms": [c for _, c in cuts]}, schema)).repartition(_PARTITIONS)
     basis = latent_terms(passages, block.idf)
@@ -309,15 +304,19 @@ def search(texts: list[str], block: Block) -> list[tuple[int, int, float, float,
     return [(d, item, cosine, share, said) for (d, item), (share, said, cosine) in best.items()]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    """Prepared blocks of the benchmark; items without an id or a word are left out."""
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Block]]:
+    """Prepared blocks of the benchmark, those of one search at a time; items without an id or a word are left out."""
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    n = -(-usable.count() // BLOCK_ITEMS)
-    for k in range(n):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        block = Block.of(sorted((r["item_id"], r["text"]) for r in rows))
-        if block.items:
-            yield prepared(docs, block)
+    words = usable.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    n = -(-words // BLOCK_WORDS)
+    rest = [Block.of(sorted((r["item_id"], r["text"]) for r in usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())) for k in range(n)]
+    rest = [block for block in rest if block.items]
+    if not rest:
+        return
+    terms = pc.unique(pa.concat_arrays([block.terms for block in rest]))
+    total, seen = document_frequencies(docs, terms)
+    for at in range(0, len(rest), PASS_BLOCKS):
+        yield [prepared(docs.sparkSession, block, total, seen[pc.index_in(block.terms, value_set=terms).to_numpy()]) for block in rest[at : at + PASS_BLOCKS]]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -330,14 +329,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id bigint, item_id bigint, cosine double, lcs double, answer double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(plain, benchmark):
+    for blocks in _passes(plain, benchmark):
 
-        def work(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], blocks: list[Block] = blocks) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                rows = search(texts_of(batch), block)
-                ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-                items = pa.array([block.items[r[1]] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+                texts = texts_of(batch)
+                for block in blocks:
+                    rows = search(texts, block)
+                    ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+                    items = pa.array([block.items[r[1]] for r in rows], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 
         out = out.unionByName(plain.mapInArrow(work, schema))
     return out
@@ -347,12 +348,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no benchmark item."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs
-    for block in _blocks(docs.select("doc_id", "text"), benchmark):
+    for blocks in _passes(docs.select("text"), benchmark):
 
-        def work(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], blocks: list[Block] = blocks) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in search(texts_of(batch), block)]] = False
+                keep, texts = np.ones(batch.num_rows, bool), texts_of(batch)
+                for block in blocks:
+                    keep[[r[0] for r in search(texts, block)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(work, fields)

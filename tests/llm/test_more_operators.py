@@ -236,6 +236,53 @@ def test_paraphrases_among_the_items_own_words_match_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, benchmark).collect()} == want
 
 
+def test_whole_table_matches_brute_force(spark):
+    """Every region of every sf0.01 document against every item; regions with fewer than half an item's words cannot pass."""
+    from ridgeloom.llm.queries import QUERIES
+
+    base = "/root/testdata/sf0.01"
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()}
+    docs = {r.doc_id: leaks.words_of(r.text or "") for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    holders: dict = {}
+    for words in docs.values():
+        for w in set(words):
+            holders[w] = holders.get(w, 0) + 1
+    idf = lambda w: np.log((1 + len(docs)) / (1 + holders.get(w, 0))) + 0.1
+    want = set()
+    for i, text in items.items():
+        item, answer = leaks.words_of(text), set(leaks.answer_of(text))
+        need, number, weight = 0.5 * len(item), {w: k for k, w in enumerate(dict.fromkeys(item))}, sum(map(idf, set(leaks.answer_of(text))))
+        codes = [number[w] for w in item]
+        for d, words in docs.items():
+            held = np.cumsum([0] + [w in number for w in words])
+            for at in range(0, len(words), leaks.STRIDE):
+                lo, hi = max(0, at - len(item) - leaks.STRIDE), min(len(words), at + leaks.WINDOW + len(item) + leaks.STRIDE)
+                if held[hi] - held[lo] < need or (d, i) in want:
+                    continue
+                region = [w for w in words[lo:hi] if w in number]
+                share = leaks.lcs(codes, [number[w] for w in region]) / len(item)
+                if share >= 0.75 or (share >= 0.5 and sum(map(idf, answer & set(region))) >= 0.7 * weight):
+                    want.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in QUERIES["op9_decontamination"](spark, base).collect()} == want and len(want) > 20
+
+
+def test_blocks_do_not_change_the_pairs(spark, monkeypatch):
+    """Many blocks in several searches, empty and repeated rows, very long texts and items."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    items = [" ".join(word() for _ in range(rng.choice([5, 30, 400]))) + "." for _ in range(24)]
+    rows = [(i, " ".join([word() for _ in range(50)] + t.split() + [word() for _ in range(50)])) for i, t in enumerate(items)]
+    rows += [(3, rows[3][1]), (None, rows[4][1]), (99, " ".join(word() for _ in range(60_000)) + " " + items[7]), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = lambda: sorted(map(str, leaks.leaks(docs, benchmark).select("doc_id", "item_id").collect()))
+    whole = found()
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(leaks, "PASS_BLOCKS", 3)
+    assert found() == whole and len(whole) == 27
+    assert leaks.leaks(docs.limit(0), benchmark).collect() == [] and leaks.decontaminated(docs.limit(0), benchmark).collect() == []
+
+
 def test_lcs():
     assert leaks.lcs([1, 2, 3, 4], [2, 9, 4, 1, 3, 4]) == 3 and leaks.lcs([1, 1, 2], [1, 2, 1]) == 2
 
