@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ridgeloom.llm.shared import Ragged, encode_by, slices, texts_of
+from ridgeloom.llm.shared import Ragged, Remembered, encode_by, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
 _PAD = np.int32(2**31 - 1)
@@ -84,6 +84,7 @@ class ByteBpe:
                     keys.append(a << 32 | b)
                     values.append(rank)
         self.pairs = HashedPairs(np.array(keys, np.int64), np.array(values, np.int32))
+        self.remembered = Remembered(lambda parts: self.encode_pretokens([x.encode() for x in parts]))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         top = max(ranks.values()) + 1
         spelled = [b""] * top
@@ -190,7 +191,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> Ragged:
         """Ids of each whole text, every match of the pattern encoded separately."""
-        return encode_by(self.pattern, texts, lambda parts: self.encode_pretokens([x.encode() for x in parts]))
+        return encode_by(self.pattern, texts, self.remembered)
 
     # -- decoding ---------------------------------------------------------------------------------
 

@@ -167,6 +167,26 @@ def encode_units(texts: list[str], encode) -> Ragged:
     return ids.take(order).grouped(group, len(texts))
 
 
+class Remembered:
+    """An encoder of distinct matches that keeps the ids of those it has seen, at most about ``limit`` of them."""
+
+    def __init__(self, encode: Callable[[list[str]], Ragged], limit: int = 1 << 19):
+        self.encode, self.limit = encode, limit
+        self.place: dict[str, int] = {}
+        self.known = Ragged(np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def __call__(self, parts: list[str]) -> Ragged:
+        new = [p for p in parts if p not in self.place]
+        if len(self.place) + len(new) > self.limit:
+            self.place, new = {}, parts
+            self.known = Ragged(np.empty(0, np.uint32), np.empty(0, np.int64))
+        if new:
+            found = self.encode(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.known = Ragged(np.concatenate([self.known.flat, found.flat]), np.concatenate([self.known.size, found.size]))
+        return self.known.take(np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts)))
+
+
 def encode_matches(units: list[str], pattern: regex.Pattern, encode: Callable[[list[str]], Ragged]) -> Ragged:
     """The ids of each unit: its pattern matches, every distinct one encoded once, joined."""
     parts, sizes = [], []
@@ -176,7 +196,7 @@ def encode_matches(units: list[str], pattern: regex.Pattern, encode: Callable[[l
             parts.append(u)
             sizes.append(1)
         else:
-            cut = [m.group() for m in pattern.finditer(u)]
+            cut = pattern.findall(u) if not pattern.groups else [m.group() for m in pattern.finditer(u)]
             parts += cut
             sizes.append(len(cut))
     distinct = dict.fromkeys(parts)

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import Ragged, encode_by, scratch_dir, slices, staged, texts_of
+from ridgeloom.llm.shared import Ragged, Remembered, encode_by, scratch_dir, slices, staged, texts_of
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
@@ -153,6 +153,7 @@ def load(path: str, special_as_text: bool = False):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
     """Encodes texts with a byte-level tokenizer that cuts by ``pattern``; every distinct match is encoded once.
 
@@ -166,7 +167,7 @@ def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return Ragged(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
 
-    compiled = regex.compile(pattern)
+    compiled, distinct = regex.compile(pattern), Remembered(distinct)
 
     def encode(texts: list[str]) -> Ragged:
         marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
