@@ -31,12 +31,12 @@ WITH = f"with lat_nodes as ({NODES}), lat_edges as ({EDGES}), refs as ({REFS}),
 _HAVERSINE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians({1}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin((radians({3}) - radians({2})) / 2), 2))))"
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(NODES.replace("from part", "from {part}"), part=_read(spark, sf_dir, "part")).withColumns({"lat": F.col("lat_e7") / 1e7, "lon": F.col("lon_e7") / 1e7})
+    return spark.sql(NODES.replace("from part", "from {part}"), part=read(spark, sf_dir, "part")).withColumns({"lat": F.col("lat_e7") / 1e7, "lon": F.col("lon_e7") / 1e7})
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REFS.replace("from lineitem", "from {l}"), l=_read(spark, sf_dir, "lineitem"))
+    return spark.sql(REFS.replace("from lineitem", "from {l}"), l=read(spark, sf_dir, "lineitem"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(POINTS.replace("from supplier", "from {s}"), s=_read(spark, sf_dir, "supplier"))
+    rows = spark.sql(POINTS.replace("from supplier", "from {s}"), s=read(spark, sf_dir, "supplier"))
     return rows.withColumns({"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double")})
 
 
 def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LOOPS.replace("from orders join lineitem", "from {o} join {l}"), o=_read(spark, sf_dir, "orders"), l=_read(spark, sf_dir, "lineitem"))
+    return spark.sql(LOOPS.replace("from orders join lineitem", "from {o} join {l}"), o=read(spark, sf_dir, "orders"), l=read(spark, sf_dir, "lineitem"))
 
 
 _LEN = _HAVERSINE.format("lat1", "lat2", "lon1", "lon2")
@@ -209,7 +209,7 @@ lambda s, q: {{'up': s.up + case when abs(q.ref - s.ref) >= 2 then greatest(q.re
 
 @query("route_climb", f"with h as (select l_suppkey as route, list(l_quantity order by l_orderkey, l_linenumber, l_quantity) as z from lineitem group by l_suppkey) select route, {_CLIMB.format('z')} as up, {_CLIMB.format('list_reverse(z)')} as down from h")
 def route_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routes.ordered(_read(spark, sf_dir, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_quantity"], "l_quantity", "z")
+    rows = routes.ordered(read(spark, sf_dir, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_quantity"], "l_quantity", "z")
     return rows.select(F.col("l_suppkey").alias("route"), routes.climb(F.col("z")).alias("up"), routes.climb(F.reverse("z")).alias("down"))
 
 
@@ -280,12 +280,12 @@ def closest_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rate_windows", "select cast(epoch_us(ts) // 600000000 * 600 as bigint) as start, user_id, count(*) as n from events group by 1, 2")
 def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.window_counts(_read(spark, sf_dir, "events"), "user_id")
+    return windows.window_counts(read(spark, sf_dir, "events"), "user_id")
 
 
 @query("rate_admitted", "select event_id, row_number() over (partition by user_id, epoch_us(ts) // 86400000000 order by ts, event_id) <= 2 as admitted from events")
 def rate_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.admitted(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 86_400).select("event_id", "admitted")
+    return windows.admitted(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 86_400).select("event_id", "admitted")
 
 
 @query("high_points")

@@ -11,6 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+#: Modules that register queries.
+MODULES = ("catalog", "tagging")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -29,7 +31,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    importlib.import_module("ridgeloom.plans.catalog")
+    for name in MODULES:
+        importlib.import_module(f"ridgeloom.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
