@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Mean Earth radius, metres in a degree of the local plane, radius of the web map.
 EARTH, PLANE_DEGREE, WEB_RADIUS = 6_371_008.8, 111_195.0, 6_378_137.0
+#: Radius of the plane around a start, metres in a degree of areas.
+START_RADIUS, AREA_DEGREE = 6_371_000.0, 111_194.9
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -100,3 +102,64 @@ def slope_weight(grade: Column) -> Column:
 def quantized(cost: Column, unit: int = 16) -> Column:
     """Cost in units, 65535 for what is farther or unreachable."""
     return F.coalesce(F.least(F.floor(cost / unit), F.lit(65_535)), F.lit(65_535)).cast("int")
+
+
+def metres_from(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Metres east and north of a start."""
+    return F.radians(lon - lon0) * START_RADIUS * F.cos(F.radians(lat0)), F.radians(lat - lat0) * START_RADIUS
+
+
+def utm(lat: Column, lon: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing of a transverse Mercator zone (1 to 60), by Krueger's series to the fourth power."""
+    if not 1 <= zone <= 60:
+        raise ValueError(f"no zone {zone}")
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    scale = 0.9996 * WEB_RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    waves = (
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140, 49_561 * n**4 / 161_280,
+    )
+    e = 2 * math.sqrt(n) / (1 + n)
+    sine = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    across = F.radians(lon - (6 * zone - 183))
+    xi, eta = F.atan2(t, F.cos(across)), F.atanh(F.sin(across) / F.hypot(F.lit(1.0), t))
+    x, y = eta, xi
+    for k, wave in enumerate(waves, 1):
+        x = x + wave * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        y = y + wave * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    return 500_000 + scale * x, (10_000_000 if south else 0) + scale * y
+
+
+def box_margin(lat: Column, lon: Column, south: Column, west: Column, north: Column, east: Column) -> Column:
+    """Metres from a point to the nearest side of a box, below zero outside."""
+    narrow = F.cos(F.radians(lat))
+    return F.least(lat - south, north - lat, (lon - west) * narrow, (east - lon) * narrow) * AREA_DEGREE
+
+
+def circle_polygon(lat: Column, lon: Column, radius: Column, steps: int = 64) -> Column:
+    """Closed ring of (lon, lat) around a point."""
+
+    def at(i: Column) -> Column:
+        angle = (i % steps) / steps * 2 * math.pi
+        return F.struct((lon + radius * F.cos(angle) / (AREA_DEGREE * F.cos(F.radians(lat)))).alias("lon"), (lat + radius * F.sin(angle) / AREA_DEGREE).alias("lat"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), at)
+
+
+def fitted_radius(asked: Column, nearest: Column, margin: int = 1, step: int = 10, least: int = 50) -> Column:
+    """The radius asked for, stopped short of the nearest point and rounded down to a step, but never under the least."""
+    return F.greatest(F.lit(least), F.floor(F.least(asked, F.floor(nearest) - margin) / step) * step)
+
+
+def grid_point(x: Column, low: Column, cell: Column) -> tuple[Column, Column]:
+    """The raster cell whose centre lies at or before x, and how far x is past it as a share of a cell (float)."""
+    f = (x - low) / cell - 0.5
+    return F.floor(f), (f - F.floor(f)).cast("float")
+
+
+def raster_tile_key(i: Column, j: Column, across: int, down: int) -> Column:
+    """Number of the tile of a raster cell, by row from the south, then from the west; cells outside share the outer ring."""
+    part = lambda v: F.greatest(F.lit(0), F.least(F.lit(0xFFFF), v + 1))
+    return F.shiftleft(part(F.floor(j / down)), 16) + part(F.floor(i / across))
