@@ -72,7 +72,7 @@ def hilbert_key(x: Column, y: Column, bits: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, level, lambda acc: acc["key"])
 
 
-def _lambert() -> tuple[float, float, float, float, float]:
+def lambert_constants() -> tuple[float, float, float, float, float]:
     """Exponent, scale, first eccentricity, origin's longitude and y of the pole of the French conic projection."""
     a, f = 6_378_137.0, 1 / 298.257222101
     e = math.sqrt(2 * f - f * f)
@@ -86,7 +86,7 @@ def _lambert() -> tuple[float, float, float, float, float]:
 
 def lambert93(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Easting and northing of EPSG:2154."""
-    n, scale, e, lon0, pole = _lambert()
+    n, scale, e, lon0, pole = lambert_constants()
     s = e * F.sin(F.radians(lat))
     t = F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2))
     rho, theta = scale * F.pow(t, F.lit(n)), n * (F.radians(lon) - lon0)

@@ -7,7 +7,7 @@ import math
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Edges of a block of nodes, which one task holds.
@@ -109,3 +109,37 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
         best = every.groupBy("source", "node", "block").agg(F.min(F.expr("if(offered, null, cost)")).alias("own"), F.min(F.expr("if(offered, cost, null)")).alias("other"))
         state = cut(best.select("source", "node", "block", F.least("own", "other").alias("cost"), F.expr("other is not null and (own is null or other < own)").alias("fresh")))
     return state.select("source", "node", "cost")
+
+
+def landmarks(nodes: DataFrame, count: int = 8, share: float = 0.95) -> DataFrame:
+    """(mark, node): the node (id, lat, lon) nearest to each of ``count`` places on an ellipse inside the nodes' box, lower id on ties.
+
+    The box is one row and the places are ``count``, so they are sent to every task; each place is a partial minimum.
+    """
+    box = nodes.agg(*[F.expr(e) for e in ("(min(lat) + max(lat)) / 2 as lat0", "(max(lat) - min(lat)) / 2 as tall", "(min(lon) + max(lon)) / 2 as lon0", "(max(lon) - min(lon)) / 2 as wide")])
+    places = box.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("mark"))
+    turn = 2 * math.pi * F.col("mark") / count
+    aims = places.select("mark", (F.col("lat0") + share * F.col("tall") * F.sin(turn)).alias("mlat"), (F.col("lon0") + share * F.col("wide") * F.cos(turn)).alias("mlon"))
+    x = (F.col("lon") - F.col("mlon")) * F.cos(F.radians("mlat"))
+    gap = F.round(F.pow(x, 2) + F.pow(F.col("lat") - F.col("mlat"), 2), 15)
+    return nodes.join(F.broadcast(aims)).groupBy("mark").agg(F.min(F.struct(gap.alias("gap"), "id"))["id"].alias("node"))
+
+
+def landmark_bound(a, b, unit: int = 16):
+    """A lower bound on the cost between two nodes, of their costs to the landmarks in units (65535: unreachable)."""
+    far = F.zip_with(a, b, lambda x, y: F.when((x != 65_535) & (y != 65_535), F.abs(x - y) - 1).otherwise(0))
+    return F.greatest(F.lit(0), F.array_max(far)) * unit
+
+
+def running_sums(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The rows with the sum of ``value`` over all rows before them in the order of columns that tell rows apart.
+
+    Rows are dealt out by ranges and written; sums of whole ranges, one row each, are added to those within a range, so
+    that no task sorts the table.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(dealt)
+    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_within", within).join(F.broadcast(before.drop("_n")), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")

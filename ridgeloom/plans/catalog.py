@@ -122,7 +122,12 @@ def coverage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select(geo.coarse_cell(F.col("lat_e7")).alias("cy"), geo.coarse_cell(F.col("lon_e7")).alias("cx")).distinct()
 
 
-@query("node_hilbert")
+_HILBERT = f"""with recursive lat_nodes as ({NODES}), h as (select id, 15 as k, 0::bigint as key, x::bigint as x, y::bigint as y from lat_nodes union all
+select id, k - 1, key + s * s * (case when rx = 1 then 3 - ry else ry end), case when ry = 1 then lx when rx = 1 then s - 1 - ly else ly end, case when ry = 1 then ly when rx = 1 then s - 1 - lx else lx end
+from (select *, x & (s - 1) as lx, y & (s - 1) as ly, case when x & s > 0 then 1 else 0 end as rx, case when y & s > 0 then 1 else 0 end as ry from (select *, (1::bigint << k) as s from h where k >= 0)))"""
+
+
+@query("node_hilbert", _HILBERT + " select id, key from h where k = -1")
 def node_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("id", geo.hilbert_key(F.col("x"), F.col("y")).alias("key"))
 
@@ -133,7 +138,13 @@ def node_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("id", F.round(mx, 2).alias("mx"), F.round(my, 2).alias("my"))
 
 
-@query("node_lambert93")
+def _conic_sql() -> str:
+    n, scale, e, lon0, pole = geo.lambert_constants()
+    t = f"tan(pi() / 4 - radians(lat_e7 / 1e7) / 2) / pow((1 - {e!r} * sin(radians(lat_e7 / 1e7))) / (1 + {e!r} * sin(radians(lat_e7 / 1e7))), {e / 2!r})"
+    return f"with lat_nodes as ({NODES}), r as (select id, {scale!r} * pow({t}, {n!r}) as rho, {n!r} * (radians(lon_e7 / 1e7) - {lon0!r}) as theta from lat_nodes) select id, round(700000 + rho * sin(theta), 2) as easting, round({pole!r} - rho * cos(theta), 2) as northing from r"
+
+
+@query("node_lambert93", _conic_sql())
 def node_lambert93(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = geo.lambert93(F.col("lat"), F.col("lon"))
     return nodes(spark, sf_dir).select("id", F.round(e, 2).alias("easting"), F.round(n, 2).alias("northing"))
@@ -288,6 +299,8 @@ def rate_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.admitted(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 86_400).select("event_id", "admitted")
 
 
-@query("high_points")
+@query("high_points", f"""with lat_nodes as ({NODES}), p as (select id, elev_dm / 10.0 as elev, (lon_e7 / 1e7 - 6.02) * cos(radians(45.01)) * 111195.0 as x, (lat_e7 / 1e7 - 45.01) * 111195.0 as y from lat_nodes),
+s as (select *, case when sqrt(x * x + y * y) < 2000 then 0 else 1 end as ring, cast(floor((atan2(y, x) + 3.141592653589793) / (2 * 3.141592653589793) * 12) as int) % 12 as sector from p where sqrt(x * x + y * y) <= 4000)
+select ring, sector, arg_max(id, elev * 10000000.0 - id) as id, max(elev) as elev from s group by ring, sector""")
 def high_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.highest_by_sector(nodes(spark, sf_dir).withColumn("elev", F.col("elev_dm") / 10), 45.01, 6.02, 4000.0)

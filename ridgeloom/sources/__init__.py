@@ -1 +1 @@
-"""Readers and writers: tagged map extracts, elevation rasters, route files, tile sets."""
+"""Readers and writers of the text formats: height grids, tracks, JSON tiles. Files are read whole, one row each, by Spark's readers."""
