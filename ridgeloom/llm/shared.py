@@ -77,7 +77,7 @@ def drop_staged(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``limit`` bytes of text at most (one longer text goes alone)."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -170,7 +170,7 @@ def encode_units(texts: list[str], encode) -> Ragged:
 class Remembered:
     """An encoder of distinct matches that keeps the ids of those it has seen, at most about ``limit`` of them."""
 
-    def __init__(self, encode: Callable[[list[str]], Ragged], limit: int = 1 << 18):
+    def __init__(self, encode: Callable[[list[str]], Ragged], limit: int = 1 << 17):
         self.encode, self.limit = encode, limit
         self.place: dict[str, int] = {}
         self.known = Ragged(np.empty(0, np.uint32), np.empty(0, np.int64))
