@@ -11,7 +11,7 @@ _HEADER = r"^\s*([A-Za-z_]+)\s+(\S+)\s*$"
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, body) of all grids below a folder, plain or gzipped, whatever the case of their endings."""
-    found = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").option("pathGlobFilter", "*.{asc,ASC,Asc,asc.gz,ASC.GZ}").text(folder)
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{asc,ASC,Asc,asc.gz,ASC.GZ}")
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
