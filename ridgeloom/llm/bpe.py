@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ridgeloom.llm.shared import Ragged, encode_by, slices, texts_of
+from ridgeloom.llm.shared import Ragged, encode_by, map_texts, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
 _PAD = np.int32(2**31 - 1)
@@ -29,7 +29,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 #: Upper bounds of the length buckets of a matrix; from LONG on they double. Cells of a matrix, about.
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, *(1 << k for k in range(8, 32)))
-LONG, CELLS = 256, 1 << 20
+LONG, CELLS = 256, 1 << 18
 
 
 class HashedPairs:
@@ -242,4 +242,4 @@ def encode_decode(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return map_texts(docs.select(id_col, text_col), work, schema)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import slices, texts_of
+from ridgeloom.llm.shared import map_texts, slices, texts_of
 
 STRIDE = 12
 WINDOW = 2 * STRIDE
@@ -141,7 +141,7 @@ def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndar
         live = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1)), pa.array(np.append(seen[live], total))], ["term", "n"])
 
-    sums = docs.select("text").mapInArrow(work, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums = map_texts(docs.select("text"), work, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out, total = np.zeros(len(terms), np.int64), 0
     for term, n in zip(sums.column("term").to_pylist(), sums.column("n").to_pylist(), strict=True):
         if term < 0:
@@ -340,7 +340,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     items = pa.array([block.items[r[1]] for r in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-        out = out.unionByName(plain.mapInArrow(work, schema))
+        out = out.unionByName(map_texts(plain, work, schema))
     return out
 
 
@@ -357,5 +357,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[r[0] for r in search(texts, block)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(work, fields)
+        out = map_texts(out, work, fields)
     return out

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import drop_staged, slices, staged, staged_by, texts_of, word_codes
+from ridgeloom.llm.shared import drop_staged, map_texts, slices, staged, staged_by, texts_of, word_codes
 from ridgeloom.operators.graph import labels
 
 BANDS, BAND_ROWS, SKETCH_BITS = 40, 5, 512
@@ -189,7 +189,7 @@ def features(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "fp", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(work, "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, sketch array<bigint>")
+    return map_texts(docs, work, "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, sketch array<bigint>")
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:
@@ -202,7 +202,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(work, "doc_id bigint, shingles array<bigint>")
+    return map_texts(docs, work, "doc_id bigint, shingles array<bigint>")
 
 
 def parity_table(sets: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +219,7 @@ def parity_table(sets: DataFrame, percent: int) -> DataFrame:
             columns = [batch.column("doc_id").take(pa.array(texts)), pa.array(sizes[texts].astype(np.int64)), pa.array(own[texts]), pa.array(levels), _lists(words, np.ones(len(words), bool))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return sets.mapInArrow(work, "doc_id bigint, size bigint, own int, level int, parity array<bigint>")
+    return map_texts(sets, work, "doc_id bigint, size bigint, own int, level int, parity array<bigint>")
 
 
 def differing_bits(a: str, b: str) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import dense, slices, staged, texts_of, windows, word_codes
+from ridgeloom.llm.shared import dense, map_texts, slices, staged, texts_of, windows, word_codes
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\v\f\r"
@@ -59,7 +59,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text_
                 [*keep, *(m.split()[0] for m in MEASURES.split(", "))],
             )
 
-    return docs.select(*keep, text_col).mapInArrow(work, f"{kinds}, {MEASURES}")
+    return map_texts(docs.select(*keep, text_col), work, f"{kinds}, {MEASURES}")
 
 
 def base_failed() -> Column:

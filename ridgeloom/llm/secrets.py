@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import drop_staged, slices, staged, texts_of
+from ridgeloom.llm.shared import drop_staged, map_texts, slices, staged, texts_of
 
 #: Base kinds in their listed order: pattern, group that is measured, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -160,8 +160,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 more.append([{"start": a, "end": b, "even": p} for a, b, p in candidates(text, spans)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, _SPANS), pa.array(more, _CANDIDATES)], ["doc_id", "base", "candidates"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        work, "doc_id bigint, base array<struct<start: bigint, kind: int, end: bigint>>, candidates array<struct<start: bigint, end: bigint, even: double>>"
+    return map_texts(
+        docs.select("doc_id", "text"), work, "doc_id bigint, base array<struct<start: bigint, kind: int, end: bigint>>, candidates array<struct<start: bigint, end: bigint, even: double>>"
     )
 
 
@@ -249,7 +249,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataF
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return map_texts(docs, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def redact(text: str, last: dict[int, int], mark: str = "[secret]") -> str:

@@ -77,6 +77,19 @@ def drop_staged(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch of texts, where the session leaves Spark's own number.
+TEXT_ROWS, _DEFAULT_ROWS = "1000", "10000"
+
+
+def map_texts(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``docs.mapInArrow`` in batches of TEXT_ROWS rows: an executor and its Python worker each hold a batch, and Spark's
+    own number of rows may be many texts. The number holds for the session; one that it has set itself stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        docs.sparkSession.conf.set(name, TEXT_ROWS)
+    return docs.mapInArrow(work, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``limit`` bytes of text at most (one longer text goes alone)."""
     for batch in batches:
@@ -86,6 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         for at, end in itertools.pairwise(cuts):
             if end > at:
                 yield batch.slice(at, end - at)
+    pa.default_memory_pool().release_unused()  # workers are used again, by other stages
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import Ragged, Remembered, encode_by, scratch_dir, slices, staged, texts_of
+from ridgeloom.llm.shared import Ragged, Remembered, encode_by, map_texts, scratch_dir, slices, staged, texts_of
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
@@ -207,7 +207,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, wid
             shard = np.searchsorted(cuts, keys.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), keys, ids], ["shard", "doc_id", "ids"])
 
-    return docs.mapInArrow(work, "shard int, doc_id bigint, ids binary")
+    return map_texts(docs, work, "shard int, doc_id bigint, ids binary")
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, n_ids: int = 50_257, file_docs: int = FILE_DOCS) -> DataFrame:
@@ -242,7 +242,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_i
 
     dealt = encoded(plain, tokenizer_path, pattern, end_id, width, cuts).repartitionById(len(cuts) + 1, "shard")
     ordered = dealt.sortWithinPartitions("shard", "doc_id", "ids")
-    manifest = staged(ordered.mapInArrow(work, "shard bigint, file string, docs bigint, tokens bigint"), "manifest")
+    manifest = staged(map_texts(ordered, work, "shard bigint, file string, docs bigint, tokens bigint"), "manifest")
     # One row per file, so this window is small however many documents there are.
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
