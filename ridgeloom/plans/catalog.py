@@ -237,20 +237,23 @@ def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(points(spark, sf_dir), nodes(spark, sf_dir), 400.0).select("point", "node", F.round("metres", 3).alias("metres"))
 
 
-_SPARSE = "(select a, b from lat_edges where (a * 31 + b * 17) % 5 < 2)"
+#: Labels fall from node to node until none falls; a node keeps one row, the newest.
+_COMPONENTS = "with recursive " + WITH.removeprefix("with ") + """, e as materialized (select a as u, b as v from lat_edges union select b, a from lat_edges),
+r(node, component) using key (node) as (select u, least(u, min(v)) from e group by u union
+select v, min(r.component) from r join e on u = r.node join recurring.r as known on known.node = v where r.component < known.component group by v)
+select node, component, count(*) over (partition by component) as size from r"""
 
 
-@query("components", "with recursive " + WITH.removeprefix("with ") + f""", e as (select a as u, b as v from {_SPARSE} union select b, a from {_SPARSE}),
-r as (select u as node, u as reached from e union select r.node, e.v from r join e on r.reached = e.u), c as (select node, min(reached) as component from r group by node)
-select node, component, count(*) over (partition by component) as size from c""")
+@query("components", _COMPONENTS)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(edges(spark, sf_dir).where("(a * 31 + b * 17) % 5 < 2").select("a", "b"))
+    """Components over every edge of the lattice."""
+    return graph.components(edges(spark, sf_dir).select("a", "b"))
 
 
-@query("components_all")
+@query("components_all", _COMPONENTS)
 def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components over every edge of the lattice; ``components`` takes a sparse part of it, as far as its SQL gets."""
-    return graph.components(edges(spark, sf_dir).select("a", "b"))
+    """The same under its earlier name."""
+    return components(spark, sf_dir)
 
 
 @query("path_costs")
