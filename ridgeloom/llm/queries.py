@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeloom.llm import bpe, leaks, neardup, quality, quotes, rules, secrets, shards, tokenfiles, urls
+from ridgeloom.llm import bpe, codes, leaks, neardup, quality, quotes, rules, secrets, shards, tokenfiles, urls
 from ridgeloom.llm.shared import scratch_dir, table
 
 QUERIES: dict = {}
@@ -83,3 +83,11 @@ ORACLES["op10_url_filters"] = urls.oracle()
 @_query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_vector_codes"] = codes.ORACLE
