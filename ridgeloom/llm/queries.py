@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeloom.llm import bpe, codes, leaks, neardup, quality, quotes, rules, secrets, shards, tokenfiles, urls
+from ridgeloom.llm import bpe, codes, leaks, neardup, quality, quotes, rules, secrets, shards, tokenfiles, tries, urls
 from ridgeloom.llm.shared import scratch_dir, table
 
 QUERIES: dict = {}
@@ -91,3 +91,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_vector_codes"] = codes.ORACLE
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = tries.ORACLE
