@@ -15,7 +15,7 @@
    the members times the lengths from the node to the point, a suffix sum of the edge.
 
 No task sees a whole conversation, group of copies or subtree. A digest over the members that end at a node is one stream
-by its definition; its task reads strings of up to MEMBERS neighbouring ids that others have joined.
+by its definition; its task reads strings of up to 2**MEMBER_BITS neighbouring ids that others have joined.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def _node(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-ROOT = _node(F.lit(0).cast("long"), F.lit(0).cast("long"))
+def _root() -> Column:
+    return _node(F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
 def numbered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -156,7 +157,7 @@ def _points(lined: DataFrame) -> DataFrame:
 def _subtree_sums(points: DataFrame) -> DataFrame:
     """(id, n, low, leaves, reached, edges): over each point and all below it, by pointer doubling."""
     names = ("n", "low", "leaves", "reached", "edges")
-    up = F.when(F.col("parent") != ROOT, F.col("parent"))  # the root takes one sum over all at the end
+    up = F.when(F.col("parent") != _root(), F.col("parent"))  # the root takes one sum over all at the end
     state = staged(points.select("id", up.alias("up"), *names), "sums")
     total = [F.min("low").alias("low") if c == "low" else F.sum(c).alias(c) for c in names]
     root = staged(state.agg(*total).where("n is not null"), "root")
@@ -168,7 +169,7 @@ def _subtree_sums(points: DataFrame) -> DataFrame:
         now = staged(added.join(further.hint("merge"), F.col("up") == F.col("via"), "left").select("id", F.col("next").alias("up"), *names), "sums")
         drop_staged(state)
         state = now
-    return state.where(F.col("id") != ROOT).select("id", *names).union(root.select(ROOT.alias("id"), *names))
+    return state.where(F.col("id") != _root()).select("id", *names).union(root.select(_root().alias("id"), *names))
 
 
 def _end_digests(members: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def trie(rows: DataFrame, turnless: DataFrame) -> DataFrame:
     blocks = staged(_blocks(rows), "chained")
     end = F.element_at("ids", -1)
     last = F.col("b") == F.floor((F.col("total") - 1) / BLOCK)
-    members = staged(blocks.where(last).select(end.alias("id"), "conv_id", F.element_at("sums", -1).alias("far")).union(turnless.select(ROOT.alias("id"), "conv_id", F.lit(0).cast("long").alias("far"))), "members")
+    members = staged(blocks.where(last).select(end.alias("id"), "conv_id", F.element_at("sums", -1).alias("far")).union(turnless.select(_root().alias("id"), "conv_id", F.lit(0).cast("long").alias("far"))), "members")
     firsts = [F.first(c).alias(c) for c in ("b", "ids", "sums", "d0")]
     chains = staged(blocks.groupBy("start", end.alias("end")).agg(*firsts).select("start", (F.col("b") * BLOCK).alias("depth0"), "ids", "sums", "d0"), "chains")
     lined = _with_shared(chains)
@@ -224,7 +225,7 @@ def trie(rows: DataFrame, turnless: DataFrame) -> DataFrame:
     ends = members.groupBy("id").agg(F.count("*").alias("n"), F.min("conv_id").alias("low"), F.sum("far").alias("reached"))
     children = found.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_children"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("struct<x: bigint, y: bigint>")
-    root = members.limit(1).select(ROOT.alias("id"), zero.alias("depth"), none.alias("parent"), zero.alias("far"), zero.alias("edge"), F.array(zero).alias("before"))
+    root = members.limit(1).select(_root().alias("id"), zero.alias("depth"), none.alias("parent"), zero.alias("far"), zero.alias("edge"), F.array(zero).alias("before"))
     held = found.union(root).join(ends, "id", "left").join(children, "id", "left")
     points = staged(held.select("id", "depth", "parent", "far", "edge", "before", F.coalesce("n", zero).alias("n"), "low", F.coalesce("reached", zero).alias("reached"), F.coalesce("n_children", zero).alias("n_children")), "points")
     leaf = (F.col("n_children") == 0).cast("long")
