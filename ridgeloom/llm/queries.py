@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeloom.llm import bpe, codes, leaks, neardup, quality, quotes, rules, secrets, shards, tokenfiles, tries, urls
+from ridgeloom.llm import bpe, codes, leaks, lm, neardup, quality, quotes, rules, secrets, shards, tokenfiles, tries, urls
 from ridgeloom.llm.shared import scratch_dir, table
 
 QUERIES: dict = {}
@@ -99,3 +99,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_prefix_trie"] = tries.ORACLE
+
+
+@_query
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
