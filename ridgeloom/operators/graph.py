@@ -1,28 +1,18 @@
-"""Graph operators as rounds of joins and partial minima; each round is checkpointed in the shared folder."""
+"""Graph operators as rounds of joins and partial minima; each round is written in the shared folder."""
 
 from __future__ import annotations
 
-import heapq
 import math
-import tempfile
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges of a block of nodes, which one task holds.
-BLOCK_EDGES = 10_000
+from ridgeloom.scratch import drop, written
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the cluster's checkpoint folder; one of our own only where none is set and the session is local."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ridgeloom-"))
-    return df.checkpoint()
+    """The rows, written once in the shared folder of the cluster."""
+    return written(df, "cut")
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -44,7 +34,8 @@ def labels(edges: DataFrame) -> DataFrame:
         low = large.where("u <> v").groupBy("u").agg(F.min("v").alias("m"))
         moved = large.where("u <> v").join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now, old = cut(small.where("u <> v").distinct()), now
+        drop(old)
     tops = now.select(F.col("v").alias("node")).distinct()
     return now.selectExpr("u node", "v component").union(tops.selectExpr("node", "node component"))
 
@@ -56,61 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
     return placed.join(sizes, "component").select("node", "component", "size")
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, cost) of the cheapest path over directed edges (a, b, cost) from each source to every node that
-    it reaches, of any number of edges. Edges with a null are no edges; a negative cost is an error.
-
-    Nodes are dealt into blocks by ranges of their ids. A round settles each block that was offered cheaper costs and
-    offers costs to others; it ends when none is cheaper. Rounds grow with the blocks that a path enters, not with
-    its edges. A block holds about BLOCK_EDGES edges, or all those of a node that has more.
-    """
-    links = edges.selectExpr("a", "b", "double(cost) as more").where("a is not null and b is not null and more is not null")
-    count, least = links.agg(F.count("*"), F.min("more")).first()
-    if count and least < 0:
-        raise ValueError(f"an edge costs {least}; costs must not be negative")
-    parts = count // BLOCK_EDGES + 1
-    bounds = sorted(set(links.approxQuantile("a", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    place = lambda c: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < c.cast("double"))) if bounds else F.lit(0)
-    links = cut(links.select("a", "b", "more", place(F.col("a")).alias("block"), place(F.col("b")).alias("to")))
-    kinds = dict(links.dtypes) | {"source": dict(sources.dtypes)["id"]}
-    schema = f"source {kinds['source']}, node {kinds['b']}, block int, cost double, offered boolean"
-
-    def settle(rows: pa.Table, known: pa.Table) -> pa.Table:
-        nearby: dict = {}
-        for a, b, more, block, to in zip(*(rows.column(n).to_pylist() for n in ("a", "b", "more", "block", "to")), strict=True):
-            nearby.setdefault(a, []).append((b, more, block == to, to))
-        held = list(zip(*(known.column(n).to_pylist() for n in ("source", "node", "cost", "fresh")), strict=True))
-        costs = {(s, n): c for s, n, c, _ in held}
-        inside, outside, block = {}, {}, known.column("block")[0].as_py()
-        heap = [(c, s, n) for s, n, c, fresh in held if fresh]
-        heapq.heapify(heap)
-        while heap:
-            c, s, n = heapq.heappop(heap)
-            if c > costs[s, n]:
-                continue
-            for b, more, same, to in nearby.get(n, ()):
-                key, new = (s, b), c + more
-                if same and new < costs.get(key, math.inf):
-                    costs[key] = inside[key] = new
-                    heapq.heappush(heap, (new, s, b))
-                elif not same and new < outside.get(key, (math.inf,))[0]:
-                    outside[key] = (new, to)
-        out = [(s, n, block, c, False) for (s, n), c in inside.items()] + [(s, n, to, c, True) for (s, n), (c, to) in outside.items()]
-        columns = zip(*out) if out else [()] * 5
-        types = [known.schema.field("source").type, known.schema.field("node").type, pa.int32(), pa.float64(), pa.bool_()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source", "node", "block", "cost", "offered"])
-
-    start = sources.where("id is not null").select(F.col("id").alias("source"), F.col("id").cast(kinds["b"]).alias("node")).distinct()
-    state = cut(start.select("source", "node", place(F.col("node")).alias("block"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")))
-    while not (fresh := state.where("fresh").select("block").distinct()).isEmpty():
-        mine, theirs = links.join(fresh, "block", "left_semi"), state.join(fresh, "block", "left_semi")
-        found = mine.groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(settle, schema)
-        every = state.select("source", "node", "block", "cost", F.lit(False).alias("offered")).union(found)
-        best = every.groupBy("source", "node", "block").agg(F.min(F.expr("if(offered, null, cost)")).alias("own"), F.min(F.expr("if(offered, cost, null)")).alias("other"))
-        state = cut(best.select("source", "node", "block", F.least("own", "other").alias("cost"), F.expr("other is not null and (own is null or other < own)").alias("fresh")))
-    return state.select("source", "node", "cost")
-
-
 def landmarks(nodes: DataFrame, count: int = 8, share: float = 0.95) -> DataFrame:
     """(mark, node): the node (id, lat, lon) nearest to each of ``count`` places on an ellipse inside the nodes' box, lower id on ties.
 
@@ -125,6 +61,18 @@ def landmarks(nodes: DataFrame, count: int = 8, share: float = 0.95) -> DataFram
     return nodes.join(F.broadcast(aims)).groupBy("mark").agg(F.min(F.struct(gap.alias("gap"), "id"))["id"].alias("node"))
 
 
+def middle(nodes: DataFrame) -> DataFrame:
+    """(id) of the node (id, lat, lon) nearest to the middle of all nodes' box, lower id on ties."""
+    box = nodes.agg(((F.min("lat") + F.max("lat")) / 2).alias("mlat"), ((F.min("lon") + F.max("lon")) / 2).alias("mlon"))
+    gap = F.pow((F.col("lon") - F.col("mlon")) * F.cos(F.radians("mlat")), 2) + F.pow(F.col("lat") - F.col("mlat"), 2)
+    return nodes.join(F.broadcast(box)).agg(F.min(F.struct(F.round(gap, 15).alias("gap"), "id"))["id"].alias("id")).where("id is not null")
+
+
+def reachable_landmarks(nodes: DataFrame, reached: DataFrame, count: int = 8, share: float = 0.95) -> DataFrame:
+    """``landmarks`` among the nodes that costs (node) reach, so that none sits on an island; nodes that share a place count once."""
+    return landmarks(nodes.join(reached.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), count, share)
+
+
 def landmark_bound(a, b, unit: int = 16):
     """A lower bound on the cost between two nodes, of their costs to the landmarks in units (65535: unreachable)."""
     far = F.zip_with(a, b, lambda x, y: F.when((x != 65_535) & (y != 65_535), F.abs(x - y) - 1).otherwise(0))

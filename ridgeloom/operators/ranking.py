@@ -51,17 +51,45 @@ def target_km(distance: Column, minutes: Column, pace: Column, gain: Column, hil
 
 
 def classified(candidates: DataFrame) -> DataFrame:
-    """Candidates (km, target_km, gain, target_gain, surface, unpaved, retrace, direct) with score, tier and kind; those out of
-    reach are dropped. A climb that misses a target in metres is kept as wide; a direct loop is offered beyond its target."""
-    km, target, direct = F.col("km"), F.col("target_km"), F.col("direct")
-    (far, far_gap), (high, high_gap) = distance_check(km, target), gain_check(F.col("gain"), F.col("target_gain"))
-    beyond = direct & (km - target > DISTANCE[-1] * target)
-    far = F.when((far == OUT) & beyond, WIDE).otherwise(far)
-    score = far_gap + GAIN_WEIGHT * high_gap + surface_mismatch(F.col("surface"), F.col("unpaved")) + F.when(direct, 0.0).otherwise(F.col("retrace"))
-    rows = candidates.withColumns({"score": score, "tier": F.greatest(far, F.least(high, F.lit(WIDE)))}).where(F.col("tier") < OUT)
+    """Candidates with score, tier and kind; those out of reach are dropped.
+
+    Columns: km, gain, target_km, target_gain, surface, unpaved, retrace, direct, and where they are asked for minutes
+    (the duration wanted, if no distance is), pace and effort_km (the distance with its slopes), level ('flat' or 'hilly'
+    instead of a gain in metres) and lollipop. A route is checked on its distance, or else its duration; and on its climb,
+    unless the route or the request has none. A climb that misses a target in metres is kept as wide, a level is not. A
+    direct loop beyond what it is first checked on is offered whatever else it misses. Its way back is no flaw, nor is a
+    lollipop's stem. Null marks count as false, a null share as 0.
+    """
+    has = set(candidates.columns)
+    col = lambda name, kind: F.col(name) if name in has else F.lit(None).cast(kind)
+    flag = lambda name: F.coalesce(col(name, "boolean"), F.lit(False))
+    km, gain, level = F.col("km"), F.col("gain"), col("level", "string")
+    by_distance = F.coalesce(F.col("target_km") > 0, F.lit(False))
+    length = F.when(by_distance, km).otherwise(col("effort_km", "double") * col("pace", "double"))
+    target = F.when(by_distance, F.col("target_km")).otherwise(col("minutes", "double"))
+    far, far_gap = distance_check(length, target)
+    (high, high_gap), flat, hilly = gain_check(gain, F.col("target_gain")), level_check(km, gain, False), level_check(km, gain, True)
+    beyond = flag("direct") & (length - target > DISTANCE[-1] * target)
+    climbs = gain.isNotNull() & (level.isNotNull() | F.col("target_gain").isNotNull())
+    by_level = [F.when(level == "flat", a).otherwise(b) for a, b in zip(flat, hilly, strict=True)]
+    tier = F.when(~climbs, MATCH).when(level.isNotNull(), by_level[0]).otherwise(F.least(high, F.lit(WIDE)))
+    more = F.when(~climbs, 0.0).when(level.isNotNull(), by_level[1]).otherwise(GAIN_WEIGHT * high_gap)
+    worst = F.greatest(*[F.when((t == OUT) & beyond, WIDE).otherwise(t) for t in (far, tier)])
+    shape = F.when(flag("direct") | flag("lollipop"), 0.0).otherwise(F.coalesce("retrace", F.lit(0.0)))
+    score = far_gap + more + F.coalesce(surface_mismatch(F.col("surface"), F.col("unpaved")), F.lit(0.0)) + shape
+    rows = candidates.withColumns({"score": score, "tier": worst}).where(F.col("tier") < OUT)
     return rows.withColumn("kind", F.when(F.col("tier") == MATCH, "match").otherwise("suggestion"))
 
 
+def closest_gain(routes: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, gain): the climb nearest to the request's target of routes (key, gain, target_gain), the first in ``order`` on
+    ties; null where one of them is a match for it, or none has a climb."""
+    gap = F.abs(F.col("gain") - F.col("target_gain"))
+    met = F.max(F.coalesce(gap <= F.greatest(F.col("target_gain") * GAIN[0][0], F.lit(GAIN[0][1])), F.lit(False)))
+    best = F.min(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), F.col(order), F.col("gain").alias("gain"))))
+    return routes.groupBy(key).agg(met.alias("met"), best.alias("best")).select(key, F.when(~F.col("met"), F.col("best.gain")).alias("gain"))
+
+
 def best_laps(loops: DataFrame, most: int = 10, longest_km: float = 50.0) -> DataFrame:
     """(loop, laps): how often to run a direct loop (loop, km, gain and the columns of ``classified``), by tier, score, laps."""
     laps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.floor(longest_km / F.col("km")).cast("int"))))

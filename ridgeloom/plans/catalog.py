@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeloom.functions import geo, ways
-from ridgeloom.operators import graph, routes, spatial
+from ridgeloom.operators import graph, ranking, routes, searches, spatial
 from ridgeloom.plans.registry import query
 from ridgeloom.streaming import windows
 
@@ -261,7 +261,7 @@ def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs from the first node to all that it reaches, both directions, in the profile for any surface."""
     priced = ways.priced(edges(spark, sf_dir)).where("profile = 'any'").select("a", "b", "cost", "dz")
     back = priced.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("cost") - 8 * F.greatest("dz", F.lit(0.0)) + 8 * F.greatest(-F.col("dz"), F.lit(0.0))).alias("cost"))
-    found = graph.distances(priced.select("a", "b", "cost").union(back), spark.range(1).select(F.col("id").cast("int").alias("id")))
+    found = searches.distances(priced.select("a", "b", "cost").union(back), spark.range(1).select(F.col("id").cast("int").alias("id")))
     return found.select("source", "node", F.round("cost", 3).alias("cost"), geo.quantized(F.col("cost")).alias("units"))
 
 
@@ -286,10 +286,21 @@ def rank_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered(spark, sf_dir).groupBy("target_km").agg(F.count("*").alias("loops"), F.count_if((F.col("distance_tier") == "match") & (F.col("gain_tier") == "match")).alias("matches"))
 
 
-@query("closest_gain", WITH + "select target_km, arg_min(gain, abs(gain - target_km * 8.0) * 1000000000.0 + gain) as gain from loops group by target_km")
+@query("closest_gain", WITH + """, g as (select target_km, loop, cast(gain as double) as gain, target_km * 8.0 as target from loops)
+select target_km, case when not bool_or(abs(gain - target) <= greatest(target * 0.2, 50)) then first(gain order by abs(gain - target), loop) end as gain from g group by target_km""")
 def closest_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gain = F.col("gain").cast("double")
-    return loops(spark, sf_dir).groupBy("target_km").agg(F.min_by(gain, F.struct(F.abs(gain - F.col("target_km") * 8.0), gain)).alias("gain"))
+    """The climb nearest to each target, where no loop meets it."""
+    rows = loops(spark, sf_dir).selectExpr("target_km", "loop", "double(gain) as gain", "target_km * 8D as target_gain")
+    return ranking.closest_gain(rows, "target_km", "loop")
+
+
+@query("closest_gain_by_customer", """with l as (select o_custkey, o_orderkey, sum(l_linenumber) * 10.0 as gain from orders join lineitem on o_orderkey = l_orderkey group by all), g as (select o_custkey as request, o_orderkey as loop, case when o_orderkey % 7 > 0 then cast(gain as double) end as gain, o_custkey % 2500 * 1.0 as target from l)
+select request, case when not bool_or(coalesce(abs(gain - target) <= greatest(target * 0.2, 50), false)) then first(gain order by abs(gain - target), loop) filter (where gain is not null) end as gain from g group by request""")
+def closest_gain_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the orders of each customer, some without a climb: most customers' targets are met by none."""
+    rows = loops(spark, sf_dir).select("loop", F.when(F.col("loop") % 7 > 0, F.col("gain").cast("double")).alias("gain"))
+    asked = read(spark, sf_dir, "orders").selectExpr("o_orderkey as loop", "o_custkey as request", "double(o_custkey % 2500) as target_gain")
+    return ranking.closest_gain(rows.join(asked, "loop"), "request", "loop")
 
 
 @query("rate_windows", "select cast(epoch_us(ts) // 600000000 * 600 as bigint) as start, user_id, count(*) as n from events group by 1, 2")

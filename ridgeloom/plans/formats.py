@@ -43,13 +43,13 @@ def coverage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POIS = """'{"pois":[{"category":"' || case p_size % 4 when 0 then 'water' when 1 then 'viewpoint' when 2 then 'toilets' else 'bench' end || '","position":[' || p_size || '.5,' || p_partkey || ']' ||
-case when p_size % 2 = 0 then ',"seasonal":true' else '' end || ',"name":"n' || p_partkey || '"},{"category":"water","position":[1]},{"category":"water"},7]}'"""
+case when p_size % 2 = 0 then ',"seasonal":true' else '' end || ',"name":"n' || p_partkey || '"},{"category":"water","position":[1]},{"category":"water"},7,null,"x",[1],{"category":5,"position":[1,2]},{"category":"water","position":["1","2"]},{"category":"water","position":[1,null]},{"category":"toilets","position":[1,2,3]},{"category":"water","position":[-' || p_size || ',2e0],"seasonal":"true","name":""}]}'"""
 
 
-@query("tile_points_json", "select p_partkey as id, case p_size % 4 when 0 then 'water' when 1 then 'viewpoint' else 'toilets' end as category, p_size + 0.5::double as lon, cast(p_partkey as double) as lat, p_size % 2 = 0 as seasonal, 'n' || p_partkey as name from part where p_size % 4 < 3")
+@query("tile_points_json", "select p_partkey as id, case p_size % 4 when 0 then 'water' when 1 then 'viewpoint' else 'toilets' end as category, p_size + 0.5::double as lon, cast(p_partkey as double) as lat, p_size % 2 = 0 as seasonal, 'n' || p_partkey as name from part where p_size % 4 < 3 union all select p_partkey, 'water', -p_size::double, 2.0::double, false, null from part")
 def tile_points_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The well-formed points of tile bodies; others of the same body are left out one by one."""
-    bodies = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_POIS.replace(",7]}'", "]}'")).alias("body"))
+    bodies = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_POIS).alias("body"))
     return bodies.select("id", F.explode(tiles.points(F.col("body"))).alias("p")).select("id", "p.*")
 
 

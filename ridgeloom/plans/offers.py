@@ -30,6 +30,30 @@ def rank_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.classified(candidates(spark, sf_dir)).select("loop", "target_km", F.round("score", 9).alias("score"), "tier", "kind")
 
 
+_REQUESTS = """, req as (select loop, cast(km as double) as km, case when loop % 5 > 0 then cast(gain as double) end as gain, case when loop % 3 > 0 then cast(target_km as double) end as target_km,
+case when loop % 3 = 0 then target_km * 9.0 end as minutes, 6.0 + loop % 3 as pace, km * (1 + (loop % 4) / 20.0) as effort_km, case when loop % 8 < 4 then target_km * 8.0 end as target_gain,
+case when loop % 8 = 5 then 'flat' when loop % 8 = 6 then 'hilly' end as level, case loop % 4 when 0 then 'paved' when 1 then 'unpaved' else 'any' end as surface,
+(loop % 11) / 10.0 as unpaved, (loop % 7) / 20.0 as retrace, loop % 17 = 3 as direct, loop % 19 = 4 as lollipop from loops),
+m as (select *, case when target_km is not null then km else effort_km * pace end as length, coalesce(target_km, minutes) as target, gain is not null and (level is not null or target_gain is not null) as climbs from req),
+n as (select *, case when abs(length - target) <= 0.1 * target then 0 when abs(length - target) <= 0.25 * target then 1 when abs(length - target) <= 0.35 * target then 2 else 3 end as far, direct and length - target > 0.35 * target as beyond,
+case when not climbs then 0 when level = 'flat' then case when gain / km <= 10 then 0 when gain / km <= 20 then 1 else 3 end when level = 'hilly' then case when gain / km >= 10 then 0 when gain / km >= 5 then 1 else 3 end
+when abs(gain - target_gain) <= greatest(0.2 * target_gain, 50) then 0 when abs(gain - target_gain) <= greatest(0.5 * target_gain, 100) then 1 else 2 end as high,
+case when not climbs then 0 when level = 'flat' then greatest(0, gain - 10 * km) / (10 * km) when level = 'hilly' then greatest(0, 10 * km - gain) / (10 * km) else 3 * abs(gain - target_gain) / greatest(target_gain, 250) end as more from m),
+o as (select loop, abs(length - target) / target + more + case surface when 'unpaved' then 1 - unpaved when 'paved' then unpaved else 0 end + case when direct or lollipop then 0 else retrace end as score,
+greatest(case when far = 3 and beyond then 2 else far end, case when high = 3 and beyond then 2 else high end) as tier from n)"""
+
+
+@query("rank_requests", WITH + _REQUESTS + " select loop, round(score, 9) as score, tier, case when tier = 0 then 'match' else 'suggestion' end as kind from o where tier < 3")
+def rank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops against requests of every kind: by distance or duration, with a climb, a level or neither, some without heights."""
+    rows = loops(spark, sf_dir).selectExpr(
+        "loop", "double(km) as km", "case when loop % 5 > 0 then double(gain) end as gain", "case when loop % 3 > 0 then double(target_km) end as target_km", "case when loop % 3 = 0 then target_km * 9D end as minutes",
+        "6D + loop % 3 as pace", "double(km) * (1 + (loop % 4) / 20) as effort_km", "case when loop % 8 < 4 then target_km * 8D end as target_gain", "case when loop % 8 = 5 then 'flat' when loop % 8 = 6 then 'hilly' end as level",
+        "case loop % 4 when 0 then 'paved' when 1 then 'unpaved' else 'any' end as surface", "(loop % 11) / 10 as unpaved", "(loop % 7) / 20 as retrace", "loop % 17 = 3 as direct", "loop % 19 = 4 as lollipop",
+    )
+    return ranking.classified(rows).select("loop", F.round("score", 9).alias("score"), "tier", "kind")
+
+
 @query("rank_candidates", WITH + _CANDIDATES + " select loop, target_km, row_number() over (partition by target_km order by round(score, 9), loop) as place from ranked")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each request in the order of their scores, earlier ones first on ties."""

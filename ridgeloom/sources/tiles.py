@@ -16,11 +16,30 @@ def coverage(body: Column) -> Column:
     return F.when(good, named)
 
 
+def _numeric(v: Column) -> Column:
+    """Whether a JSON value is a number, not a text that reads like one."""
+    return F.coalesce(F.regexp_like(F.schema_of_variant(v), F.lit("^(BIGINT|DOUBLE|DECIMAL)")), F.lit(False))
+
+
+def _texts(v: Column, path: str) -> Column:
+    """The value at a path if it is a text that is not empty, else null."""
+    at = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.nullif(F.try_variant_get(v, path, "string"), F.lit("")))
+
+
 def points(body: Column) -> Column:
-    """Array of (category, lon, lat, seasonal, name) of the well-formed points of a tile, in their order."""
-    found = F.from_json(body, "pois array<struct<category: string, position: array<double>, seasonal: boolean, name: string>>")["pois"]
-    good = F.filter(found, lambda p: p["category"].isin(*CATEGORIES) & (F.size(p["position"]) == 2) & F.forall(p["position"], lambda v: v.isNotNull()))
-    return F.transform(good, lambda p: F.struct(p["category"].alias("category"), F.get(p["position"], F.lit(0)).alias("lon"), F.get(p["position"], F.lit(1)).alias("lat"), F.coalesce(p["seasonal"], F.lit(False)).alias("seasonal"), p["name"].alias("name")))
+    """Array of (category, lon, lat, seasonal, name) of the well-formed points of a tile, in their order.
+
+    Each item is judged on its own, whatever stands beside it: an object with a known category and a position of exactly
+    two numbers; seasonal if it is true, a name if it is a text that is not empty. A body that is no object with a list has
+    no points.
+    """
+    pois = F.coalesce(F.try_variant_get(F.try_parse_json(body), "$.pois", "array<variant>"), F.array().cast("array<variant>"))
+    place = lambda p: F.try_variant_get(p, "$.position", "array<variant>")
+    good = F.filter(pois, lambda p: F.coalesce(_texts(p, "$.category").isin(*CATEGORIES) & (F.size(place(p)) == 2) & F.forall(place(p), _numeric), F.lit(False)))
+    at = lambda p, k: F.try_variant_get(p, f"$.position[{k}]", "double")
+    true = lambda p: F.coalesce((F.schema_of_variant(F.try_variant_get(p, "$.seasonal", "variant")) == "BOOLEAN") & F.try_variant_get(p, "$.seasonal", "boolean"), F.lit(False))
+    return F.transform(good, lambda p: F.struct(_texts(p, "$.category").alias("category"), at(p, 0).alias("lon"), at(p, 1).alias("lat"), true(p).alias("seasonal"), _texts(p, "$.name").alias("name")))
 
 
 def places(body: Column, most: int = 5) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeloom.functions import geo, ways
-from ridgeloom.operators import graph, routes, spatial
+from ridgeloom.operators import graph, routes, searches, spatial
 from ridgeloom.plans import catalog
 
 
@@ -57,7 +57,7 @@ def test_components_and_costs_match_brute_force(spark):
         for a, b, c in pairs:
             if a in best:
                 best[b] = min(best.get(b, math.inf), best[a] + c)
-    found = graph.distances(edges, spark.createDataFrame([(1,)], "id int"))
+    found = searches.distances(edges, spark.createDataFrame([(1,)], "id int"))
     assert {r.node: r.cost for r in found.collect()} == pytest.approx(best)
 
 
@@ -112,13 +112,13 @@ def test_costs_reach_the_end_of_long_paths(spark, monkeypatch):
     edges = spark.createDataFrame([*pairs, (0, 7, None), (None, 8, 1.0)], "a int, b int, cost double")
     sources = spark.createDataFrame([(0,), (150,), (900,), (None,), (0,)], "id int")
     want = {(s, n): c for s in (0, 150, 900) for n, c in cheapest(pairs, s).items()}
-    for size in (graph.BLOCK_EDGES, 40):
-        monkeypatch.setattr(graph, "BLOCK_EDGES", size)
-        rows = graph.distances(edges, sources).collect()
+    for size in (searches.BLOCK_EDGES, 40):
+        monkeypatch.setattr(searches, "BLOCK_EDGES", size)
+        rows = searches.distances(edges, sources).collect()
         assert {(r.source, r.node): r.cost for r in rows} == pytest.approx(want) and len(rows) == len(want)
-    assert graph.distances(edges.limit(0), sources).count() == 3
+    assert searches.distances(edges.limit(0), sources).count() == 3
     with pytest.raises(ValueError):
-        graph.distances(spark.createDataFrame([(1, 2, -1.0)], "a int, b int, cost double"), sources)
+        searches.distances(spark.createDataFrame([(1, 2, -1.0)], "a int, b int, cost double"), sources)
 
 
 def test_path_costs_match_brute_force_over_the_lattice(spark):
