@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries.
-MODULES = ("catalog", "tagging", "terrain", "walks", "offers", "formats", "journeys", "searching", "extracting", "touring")
+MODULES = ("catalog", "tagging", "terrain", "walks", "offers", "formats", "journeys", "searching", "extracting", "touring", "reaching")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
