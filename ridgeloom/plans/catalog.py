@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeloom.functions import geo, ways
-from ridgeloom.operators import graph, ranking, routes, searches, spatial
+from ridgeloom.operators import folds, graph, ranking, routes, searches, spatial
 from ridgeloom.plans.registry import query
 from ridgeloom.streaming import windows
 
@@ -224,6 +224,15 @@ def route_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_suppkey").alias("route"), routes.climb(F.col("z")).alias("up"), routes.climb(F.reverse("z")).alias("down"))
 
 
+@query("route_climb_blocks", f"with h as (select l_suppkey as route, list(l_quantity order by l_orderkey, l_linenumber, l_quantity) as z from lineitem group by l_suppkey) select route, {_CLIMB.format('z')} as up, {_CLIMB.format('list_reverse(z)')} as down from h")
+def route_climb_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks, for routes of any length; their order is a rank over the whole table."""
+    order = ["l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey"]
+    rows = read(spark, sf_dir, "lineitem").select(*order, F.lit(1).cast("long").alias("one"))
+    ranked = graph.running_sums(rows, order, "one", "pos").select(F.col("l_suppkey").alias("route"), "pos", F.col("l_quantity").alias("z"))
+    return folds.totals(ranked).select("route", "up", "down")
+
+
 _PAIRS = f", pairs as (select points.id as point, lat_nodes.id as node, {_HAVERSINE.format('points.lat', 'lat_e7 / 1e7', 'points.lon', 'lon_e7 / 1e7')} as metres from points, lat_nodes) "
 
 
@@ -256,7 +265,18 @@ def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir)
 
 
-@query("path_costs")
+_ANY_KIND = ", ".join(f"({i}, {float(m[0])})" for i, m in enumerate(ways.KINDS.values()))
+_ANY_SURFACE = ", ".join(f"({i}, {float(m[0])})" for i, m in enumerate(ways.SURFACES.values()))
+#: Edges both ways with their cost in the profile for any surface.
+PRICED = f""", kk(kind, km) as (values {_ANY_KIND}), ss(surf, sm) as (values {_ANY_SURFACE}), pr as (select a, b, {_LEN} * km * sm as m, dz from lat_edges join kk using (kind) join ss using (surf)),
+links as (select a, b, m + 8.0 * greatest(dz, 0.0) as cost from pr union all select b, a, m + 8.0 * greatest(-dz, 0.0) from pr)"""
+#: Costs fall from node to node until none falls; a node keeps one row.
+_COSTS = "with recursive " + WITH.removeprefix("with ") + PRICED + """, r(node, cost) using key (node) as (select cast(0 as int), cast(0 as double) union
+select x.b, x.cost from (select l.b, min(r.cost + l.cost) as cost from r join links l on l.a = r.node group by l.b) x left join recurring.r as known on known.node = x.b where known.cost is null or x.cost < known.cost - 1e-9)
+select cast(0 as int) as source, node, round(cost, 3) as cost, cast(least(65535, floor(cost / 16)) as int) as units from r"""
+
+
+@query("path_costs", _COSTS)
 def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs from the first node to all that it reaches, both directions, in the profile for any surface."""
     priced = ways.priced(edges(spark, sf_dir)).where("profile = 'any'").select("a", "b", "cost", "dz")
