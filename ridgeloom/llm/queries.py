@@ -15,6 +15,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def _last(rows: DataFrame, *names: str) -> DataFrame:
+    """The rows with these columns behind all others."""
+    return rows.select(*[c for c in rows.columns if c not in names], *names)
+
+
 def _query(f):
     QUERIES[f.__name__] = f
     return f
@@ -33,7 +38,7 @@ def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.host_rules(table(spark, sf_dir, "documents"))
+    return _last(rules.host_rules(table(spark, sf_dir, "documents")), "host_rejected")
 
 
 ORACLES["op3_quality_rules"] = rules.ORACLE
@@ -46,7 +51,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(table(spark, sf_dir, "documents")).drop("found")
+    return _last(secrets.find(table(spark, sf_dir, "documents")).drop("found"), "n_random")
 
 
 @_query
