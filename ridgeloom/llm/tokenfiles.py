@@ -167,7 +167,7 @@ def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return Ragged(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
 
-    compiled, distinct = regex.compile(pattern), Remembered(distinct)
+    compiled, distinct = regex.compile(pattern), Remembered(distinct, 1 << 20)
 
     def encode(texts: list[str]) -> Ragged:
         marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
