@@ -31,10 +31,10 @@ def points(body: Column) -> Column:
     """Array of (category, lon, lat, seasonal, name) of the well-formed points of a tile, in their order.
 
     Each item is judged on its own, whatever stands beside it: an object with a known category and a position of exactly
-    two numbers; seasonal if it is true, a name if it is a text that is not empty. A body that is no object with a list has
-    no points.
+    two numbers; seasonal if it is true, a name if it is a text that is not empty. Null for a body that is no object with
+    a list, which holds no points.
     """
-    pois = F.coalesce(F.try_variant_get(F.try_parse_json(body), "$.pois", "array<variant>"), F.array().cast("array<variant>"))
+    pois = F.try_variant_get(F.try_parse_json(body), "$.pois", "array<variant>")
     place = lambda p: F.try_variant_get(p, "$.position", "array<variant>")
     good = F.filter(pois, lambda p: F.coalesce(_texts(p, "$.category").isin(*CATEGORIES) & (F.size(place(p)) == 2) & F.forall(place(p), _numeric), F.lit(False)))
     at = lambda p, k: F.try_variant_get(p, f"$.position[{k}]", "double")

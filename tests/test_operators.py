@@ -88,3 +88,9 @@ def test_malformed_bodies(spark):
     bodies = ['{"cells":[[0,0,1,1]]}', '{"cells":[[0,0,1,1],[1,1,0,2]]}', '{"cells":[[0,0,1]]}', "{", None]
     rows = spark.createDataFrame(list(enumerate(bodies)), "id int, body string").select("id", tiles.coverage(F.col("body")).alias("c"), tiles.points(F.col("body")).alias("p")).collect()
     assert [r.c is not None for r in sorted(rows)] == [True, False, False, False, False] and all(r.p is None for r in rows)
+
+
+def test_items_of_a_tile_are_judged_one_by_one(spark):
+    body = '{"pois":[{"category":"water","position":[6,45.5],"name":"a"},7,null,"x",[1],{"category":"water","position":["6",45]},{"category":"toilets","position":[1,2,3]},{"category":"bench","position":[1,2]},{"category":"viewpoint","position":[1e0,-2],"seasonal":"true","name":""}]}'
+    (row,) = spark.createDataFrame([(body,)], "body string").select(tiles.points(F.col("body")).alias("p")).collect()
+    assert [tuple(p) for p in row.p] == [("water", 6.0, 45.5, False, "a"), ("viewpoint", 1.0, -2.0, False, None)]
