@@ -5,23 +5,31 @@ follows another, and how much of it repeats. The weights minimise the logistic l
 (better, worse) pairs of labelled documents, all of them. The cut is the quantile of the labelled strengths at the
 share of worse documents; strengths are shifted so that it falls on THRESHOLD.
 
-Only a bounded sample of labelled rows (``max_labelled``) reaches the driver, chosen by hash of the id. Scoring is one
+Every labelled row that is not held out takes part. Features are joined with labels by a shuffle and written once; a
+Newton step is two passes over them. What a pair adds depends on its two strengths alone, so a pass gives each row to the
+points of a fixed grid of strengths around its own, by interpolation weights, and sums of rows at points stand for all
+pairs. The driver gets these sums, of a size that the range of strengths and the number of features bound. Scoring is one
 narrow stage over whole texts: no shuffle, a few hundred weights in the closure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import dense, map_texts, slices, texts_of, windows, word_codes
+from ridgeloom.llm.shared import dense, drop_staged, map_texts, slices, staged, texts_of, windows, word_codes
 
-#: Most labelled rows that the fit takes. Its pairs are all (better, worse) pairs of them, in blocks of rows.
-MAX_LABELLED, _PAIR_ROWS = 8000, 512
+#: Labelled rows whose products are taken at once.
+BLOCK_ROWS = 4096
+#: Distance of the grid's points, and how many of them interpolate a strength: sums over pairs are right to some 1e-9.
+_STEP, _POINTS = 0.125, 8
+#: Ranges into which a search for a strength by its rank cuts at a time.
+_RANGES = 4096
 THRESHOLD = 0.3
 #: Bytes of text whose features are taken at once: a few dozen bytes of arrays for each of them.
 SLICE = 1 << 20
@@ -66,47 +74,118 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _pair_sums(s: np.ndarray, t: np.ndarray) -> float:
-    """The sum of log(1 + exp(-(s - t))) over all pairs."""
-    return sum(float(np.logaddexp(0, t[None] - s[k : k + _PAIR_ROWS, None]).sum()) for k in range(0, len(s), _PAIR_ROWS))
-
-
-def bradley_terry(better: np.ndarray, worse: np.ndarray) -> np.ndarray:
-    """Weights that minimise the mean of log(1 + exp(-w(x - y))) over all pairs, plus a ridge, by damped Newton steps.
-
-    A pair's share in the slope and the curve depends on its two strengths alone, so sums by row and one product of
-    matrices stand for the differences of all pairs.
-    """
-    n, m = len(better), len(worse)
-    w = np.zeros(better.shape[1])
-    if not n or not m:
-        return w
-    loss = lambda v: _pair_sums(better @ v, worse @ v) / (n * m) + _RIDGE / 2 * v @ v
-    now = loss(w)
-    for _ in range(_STEPS):
-        s, t = better @ w, worse @ w
-        slope, curve = _RIDGE * w, _RIDGE * np.eye(len(w))
-        column, bend = np.zeros(m), np.zeros(m)
-        for k in range(0, n, _PAIR_ROWS):
-            x = better[k : k + _PAIR_ROWS]
-            p = 1 / (1 + np.exp(np.clip(s[k : k + _PAIR_ROWS, None] - t[None], -500, 500)))
-            q = p * (1 - p)
-            slope = slope - x.T @ p.sum(1) / (n * m)
-            column, bend = column + p.sum(0), bend + q.sum(0)
-            cross = x.T @ (q @ worse)
-            curve = curve + ((x.T * q.sum(1)) @ x - cross - cross.T) / (n * m)
-        slope = slope + worse.T @ column / (n * m)
-        curve = curve + (worse.T * bend) @ worse / (n * m)
-        step, size = np.linalg.solve(curve, slope), 1.0
-        while size > 1e-6 and (after := loss(w - size * step)) > now:
+def _spread(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the first grid point, weights) by which each strength is interpolated from _POINTS points."""
+    first = np.floor(z / _STEP).astype(np.int64) - (_POINTS // 2 - 1)
+    u = z / _STEP - first
+    weights = np.ones((len(z), _POINTS))
+    for k in range(_POINTS):
+        for j in range(_POINTS):
+            if j != k:
+                weights[:, k] *= (u - j) / (k - j)
+    return first, weights
+
+
+def _point_sums(x: np.ndarray, quality: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, sums) of the rows by quality and grid point: 2 * point + quality; the weights and the weighted features."""
+    for c in (0, 1):
+        mine = x[quality == c]
+        if len(mine):
+            first, weights = _spread(mine @ w)
+            low = first.min()
+            at = np.zeros((len(mine), int(first.max() - low) + _POINTS))
+            np.put_along_axis(at, (first - low)[:, None] + np.arange(_POINTS), weights, 1)
+            yield (low + np.arange(at.shape[1])) * 2 + c, np.column_stack([at.sum(0), at.T @ mine])
+
+
+class Pairs:
+    """What all (better, worse) pairs add up to at some weights, by sums of rows at grid points."""
+
+    def __init__(self, keys: np.ndarray, sums: np.ndarray):
+        (g0, m0, x0), (g1, m1, x1) = [(keys[keys % 2 == c] // 2, sums[keys % 2 == c, 0], sums[keys % 2 == c, 1:]) for c in (0, 1)]
+        self.worse, self.better = round(m0.sum()), round(m1.sum())
+        self.total = max(1, self.worse * self.better)
+        gap = (g1[:, None] - g0) * _STEP
+        p = np.exp(-np.logaddexp(0, gap))
+        self.loss = m1 @ np.logaddexp(0, -gap) @ m0 / self.total
+        self.slope = (x0.T @ (m1 @ p) - x1.T @ (p @ m0)) / self.total
+        cross = x1.T @ ((p - p * p) @ x0) / self.total
+        self.cross = cross + cross.T
+        self.points = [(g0, m1, g1), (g1, m0, g0)]
+
+    def bends(self) -> list[tuple[int, np.ndarray]]:
+        """For each quality (lowest point, curvature of the loss in the strength of a row there) at all points of its range."""
+        out = []
+        for mine, mass, others in self.points:
+            at = np.arange(mine.min(), mine.max() + 1)
+            p = np.exp(-np.logaddexp(0, (at[:, None] - others) * _STEP))
+            out.append((int(at[0]), (p - p * p) @ mass / self.total))
+        return out
+
+
+def _curve(x: np.ndarray, quality: np.ndarray, w: np.ndarray, bends: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, sums): the rows of the products of features, each row of ``x`` by its curvature."""
+    for c, (low, bend) in enumerate(bends):
+        mine = x[quality == c]
+        if len(mine):
+            first, weights = _spread(mine @ w)
+            of_row = (bend[(first - low)[:, None] + np.arange(_POINTS)] * weights).sum(1)
+            yield np.arange(x.shape[1]), (mine.T * of_row) @ mine
+
+
+#: Gives the sums by key, in the order of keys, of what a function yields for all rows (features, quality).
+Passes = Callable[[Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]], tuple[np.ndarray, np.ndarray]]
+
+
+def descend(over_rows: Passes, width: int) -> tuple[np.ndarray, Pairs]:
+    """Weights that minimise the mean of log(1 + exp(-w(x - y))) over all pairs, plus a ridge, by damped Newton steps."""
+
+    def at(v: np.ndarray) -> Pairs:
+        return Pairs(*over_rows(lambda x, quality: _point_sums(x, quality, v)))
+
+    def loss(pairs: Pairs, v: np.ndarray) -> float:
+        return pairs.loss + _RIDGE / 2 * v @ v
+
+    w = np.zeros(width)
+    now = at(w)
+    for _ in range(_STEPS if now.better and now.worse else 0):
+        bends = now.bends()
+        _, curve = over_rows(lambda x, quality, w=w, bends=bends: _curve(x, quality, w, bends))
+        slope = now.slope + _RIDGE * w
+        step, size = np.linalg.solve(curve - now.cross + _RIDGE * np.eye(width), slope), 1.0
+        if slope @ step < 1e-12:
+            break
+        after = at(w - step)
+        while size > 1e-6 and loss(after, w - size * step) > loss(now, w) + 1e-9:
             size /= 2
+            after = at(w - size * step)
         if size <= 1e-6:
             break
-        w = w - size * step
-        if now - after < 1e-9:
+        gained = loss(now, w) - loss(after, w - size * step)
+        w, now = w - size * step, after
+        if gained < 1e-9:
             break
-        now = after
-    return w
+    return w, now
+
+
+def _added(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    total: dict[int, np.ndarray] = {}
+    for keys, sums in parts:
+        for key, row in zip(keys.tolist(), sums, strict=True):
+            total[key] = total[key] + row if key in total else row
+    return total
+
+
+def bradley_terry(better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """The weights of ``descend`` for rows that are at hand."""
+    x, quality = np.concatenate([better, worse]), np.repeat([1, 0], [len(better), len(worse)])
+
+    def over_rows(f):
+        total = _added(f(x, quality))
+        keys = np.array(sorted(total), np.int64)
+        return keys, np.array([total[k] for k in keys.tolist()]).reshape(len(keys), -1)
+
+    return descend(over_rows, x.shape[1])[0]
 
 
 class Ranking:
@@ -125,33 +204,98 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranking:
-    """A ranking of ``docs`` (doc_id, text) from ``labels`` (doc_id, quality 0 or 1), held-out ids left aside.
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), kind), x.shape[1]).cast(pa.list_(kind))
 
-    Rows of labels without an id or a quality are not used. Without both qualities the weights are 0, every
-    score is then above THRESHOLD. The sample is the ``max_labelled`` labels with the smallest hash of id, and no more
-    of the labelled rows than that where ids repeat in ``docs``.
+
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The lists, all of one length, as the rows of a matrix."""
+    flat = lists.combine_chunks().flatten() if isinstance(lists, pa.ChunkedArray) else lists.flatten()
+    return np.asarray(flat, np.float64).reshape(len(lists), -1) if len(lists) else np.empty((0, N_FEATURES + 1))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality and x (features) of every row of ``docs`` and each quality that its id is labelled with, held-out ids left aside.
+
+    Features are made before the join, so that it shuffles them and not the texts, which are larger.
     """
-    usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).select("doc_id", "quality").distinct()
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
+    usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id"))
+    known = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            x = features(texts_of(batch)).astype(np.float32)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), N_FEATURES).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), lists], ["doc_id", "quality", "x"])
-
-    # The sample has at most max_labelled rows, so it may be broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    rows = map_texts(chosen, work, "doc_id bigint, quality int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(max_labelled).toArrow()
-    quality = rows.column("quality").to_numpy()
-    x = np.asarray(rows.column("x").combine_chunks().flatten(), np.float64).reshape(-1, N_FEATURES)
-    good, bad = x[quality == 1], x[quality == 0]
-    w = bradley_terry(good, bad)
-    if not len(good) or not len(bad):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(features(texts_of(batch)).astype(np.float32), pa.float32())], ["doc_id", "x"])
+
+    ours = docs.select("doc_id", "text").where("doc_id is not null").where(~held_out("doc_id"))
+    rows = map_texts(ours, work, "doc_id bigint, x array<float>").join(known, "doc_id")
+    # In this order a fit to the same rows adds the same numbers up in the same way.
+    return rows.sortWithinPartitions("doc_id", "quality", "x").select("quality", "x")
+
+
+def _of_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, block_rows):
+            part = batch.slice(k, block_rows)
+            yield _matrix(part.column("x")), part.column("quality").to_numpy()
+
+
+def _passes(rows: DataFrame, block_rows: int) -> Passes:
+    """Sums over a written table of rows: by task, then by key."""
+
+    def over_rows(f):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _added(part for x, quality in _of_blocks(batches, block_rows) for part in f(x, quality))
+            if total:
+                part = [TaskContext.get().partitionId()] * len(total)
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(part, pa.int32()), _lists(np.array(list(total.values())), pa.float64())], ["key", "part", "sums"])
+
+        def add(group: pa.Table) -> pa.Table:
+            one = _matrix(group.sort_by("part").column("sums")).sum(0, keepdims=True)
+            return pa.table({"key": group.column("key").slice(0, 1), "sums": _lists(one, pa.float64())})
+
+        parts = rows.mapInArrow(work, "key bigint, part int, sums array<double>")
+        found = parts.groupBy("key").applyInArrow(add, "key bigint, sums array<double>").toArrow().sort_by("key")
+        return found.column("key").to_numpy(), _matrix(found.column("sums"))
+
+    return over_rows
+
+
+def ranked(values: DataFrame, rank: int) -> float:
+    """The value of the column ``z`` that has ``rank`` rows before it in order: ranges are cut finer around it."""
+    low, high = values.agg(F.min("z"), F.max("z")).first()
+    while low < high:
+        mine = values.where(F.col("z").between(low, high))
+        number = F.least(F.floor((F.col("z") - low) * (_RANGES / (high - low))), F.lit(_RANGES - 1))
+        for row in sorted(mine.groupBy(number.alias("k")).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).collect()):
+            if rank < row.n:
+                break
+            rank -= row.n
+        if rank in (0, row.n - 1):
+            return row.low if rank == 0 else row.high
+        low, high = row.low, row.high
+    return low
+
+
+def fit(docs: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> Ranking:
+    """A ranking of ``docs`` (doc_id, text) from ``labels`` (doc_id, quality 0 or 1), held-out ids left aside.
+
+    Rows of labels without an id or a quality are not used. Without both qualities the weights are 0, every
+    score is then above THRESHOLD. All other labelled rows are used, in products of ``block_rows`` rows.
+    """
+    rows = staged(labelled(docs, labels), "labelled")
+    w, pairs = descend(_passes(rows, block_rows), N_FEATURES)
+    if not pairs.better or not pairs.worse:
+        drop_staged(rows)
         return Ranking(w, -1.0)
-    strengths = np.sort(x @ w)
-    return Ranking(w, float(strengths[len(bad) - 1 : len(bad) + 1].mean()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _of_blocks(batches, block_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(x @ w)], ["z"])
+
+    strengths = staged(rows.mapInArrow(work, "z double"), "strengths")
+    cut = (ranked(strengths, pairs.worse - 1) + ranked(strengths, pairs.worse)) / 2
+    drop_staged(rows, strengths)
+    return Ranking(w, cut)
 
 
 def kept(docs: DataFrame, ranking: Ranking) -> DataFrame:
@@ -165,7 +309,7 @@ def kept(docs: DataFrame, ranking: Ranking) -> DataFrame:
     return map_texts(docs, work, fields)
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
     A null or empty text has all features at 0 and gets a score like any other. Rows that repeat are scored
@@ -173,7 +317,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     than doc_id and text are not read.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranking = fit(plain, labels, max_labelled)
+    ranking = fit(plain, labels, block_rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):

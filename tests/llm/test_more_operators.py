@@ -69,6 +69,28 @@ def test_more_labels_than_the_bound(spark):
     assert quality.kept(docs.selectExpr("*", "-5.0 as score"), all_).where("score <> -5").count() == 0
 
 
+def test_fit_takes_every_label(spark):
+    """The weights and the cut are those of all pairs of labelled rows, however few rows are taken at once."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["plain", "words", "here.", "!!!", "$$$", "A1", "and\nso"][k % 2 :]) for _ in range(rng.randrange(1, 30))) for k in range(150)]
+    labels = {k: 1 - k % 2 for k in range(150) if k % 7}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = quality.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int"), 12)
+    used = [k for k in labels if zlib.crc32(str(k).encode()) % 5]
+    x, y = quality.features([texts[k] for k in used]).astype(np.float32).astype(float), np.array([labels[k] for k in used])
+    p = 1 / (1 + np.exp((x[y == 1] @ got.weights)[:, None] - x[y == 0] @ got.weights))
+    slope = quality._RIDGE * got.weights - ((x[y == 1].T @ p.sum(1)) - x[y == 0].T @ p.sum(0)) / p.size
+    assert np.abs(slope).max() < 1e-6
+    strengths = np.sort(x @ got.weights)
+    assert got.cut == pytest.approx(strengths[(y == 0).sum() - 1 :][:2].mean(), abs=1e-9)
+
+
+def test_strengths_by_rank(spark):
+    values = [3.0, -1.5, 3.0, 3.0, 1e-9, 2e-9, 7e8, -1.5]
+    z = spark.createDataFrame([(v,) for v in values], "z double")
+    assert [quality.ranked(z, k) for k in range(len(values))] == sorted(values)
+
+
 def test_token_files_round_trip(spark):
     docs = odd_documents(spark, "start", "n_tokens")
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfiles.round_trip(docs, JSON, public_tokenizers.PATTERN, 2).collect())
