@@ -20,10 +20,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -31,12 +32,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeloom.llm.shared import Ragged, Remembered, encode_by, map_texts, scratch_dir, slices, staged, texts_of
+from ridgeloom.llm.shared import CUT_PATTERN, Ragged, Remembered, encode_by, encode_units, map_texts, scratch_dir, slices, staged, texts_of
 
 FRAME_BYTES = 1 << 20
 LEVEL = 3
 #: Documents of a file, about; ids sampled for each file to find the bounds (any bounds give the same ids and starts).
 FILE_DOCS, SAMPLED = 1 << 15, 64
+#: Units whose ids a worker keeps, about; units that go to the library as one text.
+KEPT_UNITS, JOINED = 1 << 20, 256
 #: Fixed values of the zstandard formats: skippable frames, the seek table's footer, its checksum flag.
 _INDEX_MAGIC, _SEEK_MAGIC, _FOOTER_MAGIC, _CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -153,11 +156,45 @@ def load(path: str, special_as_text: bool = False):
     return tokenizer
 
 
+def joined_units(tokenizer, alone: Callable[[list[str]], Ragged]) -> Callable[[list[str]], Ragged]:
+    """An encoder of units that joins many into one text of the library's, and cuts its ids by the bytes they stand for.
+
+    A unit can be joined if white space is its first character and neither its second nor its last: a match then starts
+    with it behind any other such unit. All other units go ``alone``, as do all where ids and units end at different bytes.
+    """
+    n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        n_bytes[i] = len(token)  # a byte-level token has a character for each byte
+
+    def encode(units: list[str]) -> Ragged:
+        fit = np.fromiter((len(u) > 1 and u[0] in " \n" and not u[1].isspace() and not u[-1].isspace() for u in units), bool, len(units))
+        if not fit.any():
+            return alone(units)
+        ours = list(itertools.compress(units, fit))
+        texts = ["".join(ours[k : k + JOINED]) for k in range(0, len(ours), JOINED)]
+        lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        ends, wanted = np.cumsum(n_bytes[flat]), np.cumsum(pc.binary_length(pa.array(ours, pa.large_string())).to_numpy())
+        last = np.searchsorted(ends, wanted)
+        if len(flat) != last[-1] + 1 or not np.array_equal(ends[last], wanted):
+            return alone(units)
+        joined = Ragged(flat, np.diff(last, prepend=-1))
+        if len(ours) == len(units):
+            return joined
+        rest = alone(list(itertools.compress(units, ~fit)))
+        both = Ragged(np.concatenate([joined.flat, rest.flat]), np.concatenate([joined.size, rest.size]))
+        place = np.where(fit, np.cumsum(fit) - 1, len(ours) + np.cumsum(~fit) - 1)
+        return both.take(place)
+
+    return encode
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
-    """Encodes texts with a byte-level tokenizer that cuts by ``pattern``; every distinct match is encoded once.
+    """Encodes texts with a byte-level tokenizer that cuts by ``pattern``; what a worker has seen is not encoded again.
 
-    A text that holds an added token's string goes to the library whole, as that string is no match of the pattern.
+    With CUT_PATTERN that holds of units, which the library cuts into matches by itself, and else of matches. A text
+    that holds an added token's string goes to the library whole, as that string is no match of the pattern.
     """
     tokenizer, matcher = load(path), load(path, special_as_text=True)
     added = [a.content for a in tokenizer.get_added_tokens_decoder().values()]
@@ -167,11 +204,15 @@ def encoder(path: str, pattern: str) -> Callable[[list[str]], Ragged]:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return Ragged(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
 
-    compiled, distinct = regex.compile(pattern), Remembered(distinct, 1 << 20)
+    if pattern == CUT_PATTERN and tokenizer.normalizer is None:
+        together = joined_units(matcher, distinct)
+        by = partial(encode_units, encode=Remembered(together, KEPT_UNITS))
+    else:
+        by = partial(encode_by, regex.compile(pattern), encode=Remembered(distinct, KEPT_UNITS))
 
     def encode(texts: list[str]) -> Ragged:
         marked = {i for i, t in enumerate(texts) if t and any(a in t for a in added)}
-        found = encode_by(compiled, ["" if i in marked else t for i, t in enumerate(texts)] if marked else texts, distinct)
+        found = by(texts=["" if i in marked else t for i, t in enumerate(texts)] if marked else texts)
         if not marked:
             return found
         cuts = zip(found.start.tolist(), (found.start + found.size).tolist(), strict=True)
