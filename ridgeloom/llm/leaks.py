@@ -44,6 +44,8 @@ _GROUP, _CHUNK = 32, 1024
 LCS_COPY, LCS_PARAPHRASE, ANSWER = 0.75, 0.5, 0.7
 BLOCK_WORDS, PASS_BLOCKS = 1 << 14, 16
 _TERMS, _PARTITIONS = 512, 8
+#: Columns of the matrix that one product sends out and gets back.
+COLUMNS = 84
 
 _EDGES = ".,;:!?\"'()[]{}|*#$%&-"
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+")
@@ -152,10 +154,20 @@ def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndar
 
 
 def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'Ax for the TF-IDF matrix A of a passage table (terms: array of term numbers), summed over its partitions."""
+    """A'Ax for the TF-IDF matrix A of a passage table (terms: array of term numbers), by COLUMNS columns of x at a time.
+
+    The driver's JVM holds what is sent out and what comes back of so many columns, and lets go of it before the next.
+    """
+    return np.concatenate([_of_columns(passages, idf, np.ascontiguousarray(x[:, k : k + COLUMNS])) for k in range(0, x.shape[1], COLUMNS)], axis=1)
+
+
+def _of_columns(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The same of a few columns, summed over the partitions of the passages."""
     width = x.shape[1]
+    sent = passages.sparkSession.sparkContext.broadcast((idf, x))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, x = sent.value
         out = np.zeros_like(x)
         for batch in batches:
             for found in batch.column("terms").to_pylist():
@@ -173,6 +185,7 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
 
     # A group holds one slab of _TERMS rows from each of the few partitions.
     slabs = passages.mapInArrow(work, "part bigint, sums binary").groupBy("part").applyInArrow(add, "part bigint, sums binary").toArrow()
+    sent.destroy()
     out = np.zeros_like(x)
     for k, sums in zip(slabs.column("part").to_pylist(), slabs.column("sums").to_pylist(), strict=True):
         out[k * _TERMS : (k + 1) * _TERMS] = np.frombuffer(sums).reshape(-1, width)
