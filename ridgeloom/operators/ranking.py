@@ -27,8 +27,9 @@ def distance_check(length: Column, target: Column) -> tuple[Column, Column]:
 
 
 def gain_check(gain: Column, target: Column) -> tuple[Column, Column]:
-    """The same of a climb in metres; small targets share one scale."""
-    return _tier(gain - target, [F.greatest(target * share, F.lit(floor)) for share, floor in GAIN]), F.abs(gain - target) / F.greatest(target, F.lit(GAIN_SCALE))
+    """The same of a climb in metres, its gap with its weight; small targets share one scale. The weight comes first, as in
+    SQL: the other order rounds otherwise, and scores that are equal but for that would be ranked apart from it."""
+    return _tier(gain - target, [F.greatest(target * share, F.lit(floor)) for share, floor in GAIN]), GAIN_WEIGHT * F.abs(gain - target) / F.greatest(target, F.lit(GAIN_SCALE))
 
 
 def level_check(km: Column, gain: Column, hilly: bool) -> tuple[Column, Column]:
@@ -73,7 +74,7 @@ def classified(candidates: DataFrame) -> DataFrame:
     climbs = gain.isNotNull() & (level.isNotNull() | F.col("target_gain").isNotNull())
     by_level = [F.when(level == "flat", a).otherwise(b) for a, b in zip(flat, hilly, strict=True)]
     tier = F.when(~climbs, MATCH).when(level.isNotNull(), by_level[0]).otherwise(F.least(high, F.lit(WIDE)))
-    more = F.when(~climbs, 0.0).when(level.isNotNull(), by_level[1]).otherwise(GAIN_WEIGHT * high_gap)
+    more = F.when(~climbs, 0.0).when(level.isNotNull(), by_level[1]).otherwise(high_gap)
     worst = F.greatest(*[F.when((t == OUT) & beyond, WIDE).otherwise(t) for t in (far, tier)])
     shape = F.when(flag("direct") | flag("lollipop"), 0.0).otherwise(F.coalesce("retrace", F.lit(0.0)))
     score = far_gap + more + F.coalesce(surface_mismatch(F.col("surface"), F.col("unpaved")), F.lit(0.0)) + shape

@@ -94,3 +94,11 @@ def test_items_of_a_tile_are_judged_one_by_one(spark):
     body = '{"pois":[{"category":"water","position":[6,45.5],"name":"a"},7,null,"x",[1],{"category":"water","position":["6",45]},{"category":"toilets","position":[1,2,3]},{"category":"bench","position":[1,2]},{"category":"viewpoint","position":[1e0,-2],"seasonal":"true","name":""}]}'
     (row,) = spark.createDataFrame([(body,)], "body string").select(tiles.points(F.col("body")).alias("p")).collect()
     assert [tuple(p) for p in row.p] == [("water", 6.0, 45.5, False, "a"), ("viewpoint", 1.0, -2.0, False, None)]
+
+
+def test_laps_of_nearly_equal_scores_are_those_of_sql(spark):
+    """Weight, gap and scale are multiplied and divided in the order of the SQL, or these would go the other way."""
+    rows = [(1, 25, 8.0, 20.0, 0.2, 3), (2, 30, 10.8, 30.0, 0.5, 4), (3, 27, 16.2, 50.0, 0.2, 2), (4, 30, 22.4, 20.0, 1.0, 2), (5, 15, 11.2, 20.0, 0.4, 1)]
+    loops = [(i, km, gain, float(target), target * 8.0, "unpaved", unpaved, 0.0, False) for i, target, km, gain, unpaved, _ in rows]
+    df = spark.createDataFrame(loops, "loop int, km double, gain double, target_km double, target_gain double, surface string, unpaved double, retrace double, direct boolean")
+    assert {r.loop: r.laps for r in ranking.best_laps(df).collect()} == {r[0]: r[5] for r in rows}
