@@ -114,3 +114,16 @@ def test_frequent_words_are_all_from_a_count_on(spark, monkeypatch):
     for most, want in ((1, "a"), (2, "a"), (3, "abc"), (4, "abc"), (5, "abcde"), (6, "abcdef"), (9, "abcdef"), (0, "")):
         monkeypatch.setattr(lm, "FREQUENT", most)
         assert sorted(lm.frequent_words(counts).column("word").to_pylist()) == [*want]
+
+
+def test_subwords_of_long_words_are_counted(spark, monkeypatch):
+    """What the corpus says of subwords is the same whether a word stands as itself or as a digest."""
+    texts = ["the hill " + "é" * 40, "y" * 70 + " path " + "é" * 40 + " " + "snowfield" * 9, "The path"]
+    words = collections.Counter(w for t in texts for w in t.lower().split())
+    found, train = [], lm.Attention
+    monkeypatch.setattr(lm, "train", lambda windows, known: found.append(known) or train(known.next_class))
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(2)
+    assert lm.score(docs, PATH, PATTERN).count() == 3
+    want = lm.subword_statistics(spark.createDataFrame(list(words.items()), "word string, n long"), 3, PATH, PATTERN)
+    for name in ("rank", "klass", "member", "next_class", "next_member"):
+        assert np.array_equal(getattr(found[0], name), getattr(want, name)), name
