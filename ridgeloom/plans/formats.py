@@ -13,7 +13,7 @@ from ridgeloom.sources import grids, tiles, tracks
 @query("gpx_round_trip", WITH + _WALK + ", n as (select route, pos, round(lon, 6) as lon, round(lat, 6) as lat, case when route % 3 > 0 then elev_dm / 10.0 end as ele, row_number() over (partition by route order by pos) - 1 as place from walk) select route, place, lon, lat, round(ele, 1) as ele from n")
 def gpx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each route written as a GPX document and read back."""
-    rows = walk(spark, sf_dir).select("route", F.struct("pos", "lon", "lat", F.when(F.col("route") % 3 > 0, F.col("elev_dm") / 10).alias("ele")).alias("p"))
+    rows = walk(spark, sf_dir, "elev_dm").select("route", F.struct("pos", "lon", "lat", F.when(F.col("route") % 3 > 0, F.col("elev_dm") / 10).alias("ele")).alias("p"))
     lists = rows.groupBy("route").agg(F.array_sort(F.collect_list("p")).alias("track"))
     written = lists.select("route", tracks.document(F.concat(F.lit("<Route> & "), F.col("route").cast("string")), F.col("track")).alias("body"))
     return written.select("route", F.posexplode(tracks.points(F.col("body"))).alias("place", "p")).select("route", F.col("place").cast("long").alias("place"), "p.lon", "p.lat", "p.ele")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeloom.functions import geo, ways
 from ridgeloom.operators import graph, routes, searches, spatial
-from ridgeloom.plans import catalog
+from ridgeloom.plans import catalog, registry
 
 
 def one(spark, **columns):
@@ -153,3 +153,24 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_walks_number_references_before_nodes_are_missed(spark, tmp_path):
+    """Two shuffles of references, and the rows of SQL where ids repeat, are missing or null, with equal lines of an order."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, 5), (2, 6), (2, 9), (41, 7), (3, None)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = [(7, 1, 1), (7, 2, 99), (7, 3, 2), (7, 3, 2), (7, 4, 41), (8, 1, 99), (8, 2, 3), (9, 1, 2), (None, 1, 1), (None, 2, 41)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.walk(spark, str(tmp_path), "elev_dm")
+    for name in ("part", "lineitem"):
+        duckdb.sql(f"create or replace view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duckdb.sql(f"with lat_nodes as ({catalog.NODES}), refs as ({catalog.REFS}) {catalog._WALK} select route, pos, lat, lon, elev_dm from walk").fetchall()
+    key = lambda r: [(v is None, v) for v in r]
+    assert sorted((tuple(r) for r in got.select("route", "pos", "lat", "lon", "elev_dm").collect()), key=key) == sorted(want, key=key) and len(want) == 11
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query in ("route_markers", "route_profile", "route_marker_positions"):  # of nodes once and of references twice
+            plan = registry.queries()[query](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3, query
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
