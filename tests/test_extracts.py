@@ -1,5 +1,6 @@
 """The map extract source: what is written is read, kinds apart, broken files named."""
 
+import random
 import struct
 import uuid
 
@@ -83,3 +84,18 @@ def test_missing_nodes_break_ways_and_nodes_without_an_edge_have_no_place(spark,
     steps = graph_of.steps_between_known(refs, df)
     assert sorted((r.way, r.pos, r.a, r.b) for r in steps.collect()) == [(-13, 1, 3, 1), (10, 1, 1, 5), (10, 3, 5, 3)]
     assert sorted((r.a_id, r.a, r.b_id, r.b) for r in graph_of.placed(steps).collect()) == [(1, 0, 5, 2), (3, 1, 1, 0), (5, 2, 3, 1)]
+
+
+def test_ways_of_a_block_are_packed_together(monkeypatch):
+    """Numbers of all ways go through numpy at once, and come back as they were, those of ways without tags or references too."""
+    rng, calls = random.Random(4), []
+    refs = [None, [], [5], [2**62, -(2**62)], [3, 3, 10**12, 0]]
+    rows = [{"kind": "way", "id": rng.choice([0, -1, 127, 128, 2**40, -(2**63)]), "tags": rng.choice([None, [], [("é", "x"), ("b", None)]]), "refs": rng.choice(refs)} for _ in range(300)]
+    for name in ("pack", "unpack"):
+        plain = getattr(extracts, name)
+        monkeypatch.setattr(extracts, name, lambda data, plain=plain: calls.append(1) or plain(data))
+    (got,) = extracts.decode(memoryview(extracts.encode(rows, "way")))
+    assert [(r["id"], dict(r["tags"]), r["refs"]) for r in got.to_pylist()] == [(r["id"], {k: v or "" for k, v in r["tags"] or ()}, r["refs"] or []) for r in rows]
+    assert len(calls) <= 10
+    with pytest.raises(extracts.BadExtract, match="runs on"):
+        extracts.unpack_all([memoryview(b"\x01"), memoryview(b"\x80"), memoryview(b"\x01")])
